@@ -15,6 +15,10 @@ _PACKAGE = Path(__file__).resolve().parent
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application, so Python workers can import it."""
     sc = spark.sparkContext
+    # Texts can be long: bound what a batch between JVM and Python holds, where the session has Spark's defaults.
+    for key, default, ours in (("maxBytesPerBatch", "67108864b", "4m"), ("maxRecordsPerBatch", "10000", "2000")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", ours)
     if getattr(sc, "_contextloom_shipped", False):
         return spark
     target = Path(tempfile.mkdtemp(prefix="contextloom-")) / "contextloom_src.zip"
