@@ -63,7 +63,9 @@ def run_kernels(batches: Iterator[pa.RecordBatch], keys: int, params: dict | Par
         return pa.RecordBatch.from_arrays(cols, schema=out)
 
     for batch in batches:
-        x, seq = features_of(batch.column(keys + 1)), batch.column(keys).to_pylist()
+        # Keys of one batch may differ in their number of features.
+        flat, off = batch.column(keys + 1).flatten().to_numpy(zero_copy_only=False), batch.column(keys + 1).offsets.to_numpy()
+        off, seq = off - off[0], batch.column(keys).to_pylist()
         key = list(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True))
         for i in range(batch.num_rows):
             if key[i] != now:
@@ -71,7 +73,7 @@ def run_kernels(batches: Iterator[pa.RecordBatch], keys: int, params: dict | Par
                     end()
                 now = key[i]
                 kernel = Kernel(params if isinstance(params, Params) else params[now[0]])
-            label(now, kernel.step(seq[i], x[i]))
+            label(now, kernel.step(seq[i], flat[off[i] : off[i + 1]]))
             if len(rows) >= 5000:
                 yield flush()
     if kernel is not None:
