@@ -86,7 +86,7 @@ def positions(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sou
     if (rest := total - sum(counts.values())) > 0:
         counts[_REST] = rest
         named = F.broadcast(spark.createDataFrame([(s,) for s, _ in top], "stream string"))
-        rows = rows.join(named.withColumn("known", F.lit(True)), "stream", "left").withColumn("stream", F.when("known", F.col("stream")).otherwise(F.lit(_REST))).drop("known")
+        rows = rows.join(named.withColumn("known", F.lit(True)), "stream", "left").withColumn("stream", F.when(F.col("known"), F.col("stream")).otherwise(F.lit(_REST))).drop("known")
     names = list(counts)
     whole = weigh(counts, weights, resolution)
     plan = phases([-(-counts[s] // block_rows) for s in names], [whole[s] for s in names])

@@ -177,9 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     got = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(picked), "doc_id").mapInArrow(run, "y int, x binary").collect()
     got.sort(key=lambda r: (r.y, zlib.crc32(r.x), r.x))
     wide = _TERMS + 5
-    x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(len(got), -1)
-    y = np.array([r.y for r in got])
-    x = x if len(got) else np.zeros((0, wide + _LANG + _SOURCE + 10), np.float32)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(len(got), wide + _LANG + _SOURCE + 10)
+    y = np.array([r.y for r in got], int)
     mix = np.random.default_rng(3).permutation(np.flatnonzero(y >= 0))
     return co_train((x[mix, :wide], x[mix, wide:]), y[mix].astype(float), (x[y < 0, :wide], x[y < 0, wide:]))
 

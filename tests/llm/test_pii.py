@@ -1,0 +1,76 @@
+import hashlib
+import re
+import time
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from contextloom.llm import pii
+
+
+def plain(text):
+    """The contract's expressions as they stand."""
+    out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub(r"\D", "", m[0])
+        s = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and s % 10 == 0:
+            out.append((m.start(), m.end(), "card"))
+    out += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub(r"\D", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[0], pii.BASE.index(s[2])))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="a1290.@-+ (%é", max_size=40) | st.lists(st.sampled_from(["a.b@c.de", "1.2.3.4", "255.255.255.256", "4111 1111 1111 1111", "+1 (375) 555-4393", "@", ".", " ", "x", "12", "é"]), max_size=8).map("".join))
+def test_base_spans_equal_the_expressions(text):
+    assert sorted(pii.base_spans(text), key=lambda s: (s[0], pii.BASE.index(s[2]))) == plain(text)
+
+
+def test_long_runs_take_linear_time():
+    began = time.time()
+    for text in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1." * 150_000, "+1 " * 100_000, "1 " * 150_000, "+1" + " " * 300_000, "a" * 200_000 + "@", "password=" * 30_000 + "1", "1:" * 100_000, "[at]" * 50_000):
+        pii.base_spans(text)
+        pii.loose_spans(text)
+    assert time.time() - began < 60
+
+
+def test_documents_and_messy_rows(documents, messy, nothing):
+    for df in (documents, messy):
+        want = sorted((str(r.doc_id), r.text or "") for r in df.collect())
+        rows = sorted((str(r.doc_id), r) for r in pii.find(df).collect())
+        seen = {}
+        for i, t in want:
+            seen.setdefault(i, []).append(t)
+        for i, r in rows:
+            ok = []
+            for t in seen[i]:
+                base = plain(t)
+                ok.append(hashlib.sha256(pii.joined(base).encode()).hexdigest() == r.base_sha256 and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in pii.BASE] and set(pii.joined(base).split(",")) <= set(r.spans.split(",")))
+            assert any(ok)
+        assert len(rows) == len(want)
+    assert pii.find(nothing).count() == 0 and pii.redact(nothing).count() == 0
+
+
+def test_trees_add_true_spans_and_leave_others():
+    trees, limits = pii.model()
+    full = lambda t: [t[a:b] for a, b, _ in pii.all_spans(t, trees, limits)[1]]
+    assert full('the token = "0641917ea4e9feb9cda83477b57ac2654884f485" here') == ["0641917ea4e9feb9cda83477b57ac2654884f485"]
+    assert full("call (375) 555-4393 today") == ["(375) 555-4393"]
+    assert full("ssn 123-45-6789") == ["123-45-6789"]
+    assert full("ask john.12 (at) mail.com") == ["john.12 (at) mail.com"]
+    for clean in ("This work is licensed under version 3.", "Licensed under CC BY-NC 4.0.", "in 1999 and 2024, page 12", "order 4111 1111 1111 1112 total"):
+        assert full(clean) == []
+    rows = list(pii.examples(3000, seed=99))
+    raw = trees.raw(np.array([pii.features(*r[:4]) for r in rows]))
+    said = np.array([x >= limits[r[3]] for x, r in zip(raw, rows, strict=True)])
+    y = np.array([r[4] == 1 for r in rows])
+    assert (said & y).sum() / said.sum() > 0.93 and (said & y).sum() / y.sum() > 0.8
+
+
+def test_redact_keeps_columns(spark, messy):
+    out = pii.redact(messy)
+    assert out.columns == messy.columns and out.count() == messy.count()
+    df = spark.createDataFrame([(1, "é mail a.b@c.de, host 10.0.0.1."), (2, None)], "doc_id long, text string")
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["é mail [EMAIL], host [IP].", None]
