@@ -54,3 +54,13 @@ def sanitise(df: DataFrame, label: str, normal: str | int) -> DataFrame:
 
 def centred(features: Column, centroid: Column) -> Column:
     return F.zip_with(features, centroid, lambda a, b: a - b)
+
+
+def norm(features: Column | str) -> Column:
+    """Euclidean length of a row's features."""
+    return F.sqrt(F.aggregate(F.transform(features, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
+
+
+def norms(df: DataFrame, features: str = "features") -> DataFrame:
+    """One row: n, total and mean of the rows' lengths."""
+    return df.select(norm(features).alias("l")).agg(F.count("*").alias("n"), F.sum("l").alias("total"), F.avg("l").alias("mean"))

@@ -430,3 +430,70 @@ def clustering_pipeline_events(spark, d):
     dist = F.sqrt(F.aggregate(F.transform(F.sequence(F.lit(0), F.size(F.col("m.coeff")[0]) - 1), lambda k: F.pow(F.aggregate(F.zip_with(F.zip_with("features", "m.centroid", lambda a, b: a - b), "m.coeff", lambda a, r: a * r[k]), F.lit(0.0), lambda s, v: s + v), 2)), F.lit(0.0), lambda s, v: s + v))
     best = tried.groupBy("stream_key", "seq", "event_type").agg(F.min(F.struct(dist.alias("score"), F.col("m.model_id").alias("context_id"))).alias("b"))
     return best.groupBy("stream_key").agg(F.count("*").alias("n"), F.countDistinct("b.context_id").alias("n_contexts"), F.round(F.avg("b.score"), R).alias("mean_score"))
+
+
+@query(EVENTS + " SELECT count(*) AS n, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS sd_value, round(avg(gap), 3) AS mean_gap, round(stddev_samp(gap), 3) AS sd_gap FROM e")
+def column_moments_events(spark, d):
+    e = events(spark, d)
+    m = feat.moments(e, ["value", "gap"]).crossJoin(F.broadcast(e.agg(F.count("*").alias("n"))))
+    return m.select("n", r6("mean_value").alias("mean_value"), r6("sd_value").alias("sd_value"), F.round("mean_gap", 3).alias("mean_gap"), F.round("sd_gap", 3).alias("sd_gap"))
+
+
+@query(M + " SELECT event_id, round(x1 - mu_0, 6) AS d0, round(x2 - mu_1, 6) AS d1 FROM z JOIN g USING (event_type)")
+def centred_events(spark, d):
+    z = standard(spark, d)
+    mu = F.broadcast(models.mean_cov(z, "event_type", COLS).select("event_type", F.array("mu_0", "mu_1").alias("mu")))
+    c = z.join(mu, "event_type").select("event_id", feat.centred(F.array(*COLS), F.col("mu")).alias("c"))
+    return c.select("event_id", r6(F.col("c")[0]).alias("d0"), r6(F.col("c")[1]).alias("d1"))
+
+
+@query("SELECT label, count(*) AS n, round(sum(l), 5) AS total, round(avg(l), 5) AS mean FROM (SELECT label, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS l FROM embeddings) GROUP BY label")
+def column_norms_embeddings(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("label", feat.norm("embedding").alias("l"))
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("l"), 5).alias("total"), F.round(F.avg("l"), 5).alias("mean"))
+
+
+@query(EVENTS + " SELECT event_id, user_id, CAST(seq AS BIGINT) AS seq FROM e ORDER BY user_id, seq LIMIT 1")
+def first_row_events(spark, d):
+    return events(spark, d).select("event_id", "user_id", "seq").orderBy("user_id", "seq").limit(1)
+
+
+@query("SELECT group_id, count(*) AS n, round(sum(f), 2) AS total FROM (SELECT 0 AS group_id, l_quantity + l_extendedprice AS f FROM lineitem UNION ALL SELECT 1, l_discount + l_tax FROM lineitem UNION ALL SELECT 2, l_quantity + l_tax FROM lineitem) GROUP BY 1")
+def bag_union_lineitem(spark, d):
+    """The union of keyed streams from one scan."""
+    g = feature_groups(lines(spark, d), _GROUPS)
+    return g.groupBy("group_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("features")[0] + F.col("features")[1]), 2).alias("total"))
+
+
+@query()
+def anomaly_pipeline_events(spark, d):
+    """Train on the normal rows of the first part, score the rest with the three detectors, measure each: one row.
+
+    Users are one stream here, by event id, as the detectors' models are shared."""
+    first, rest = feat.split(events(spark, d), 0.8, ["user_id"])
+    z = lambda x: feat.zscore(x, ["value", "gap"], fit_on=first, names=COLS).select(F.lit(0).cast("long").alias("stream_key"), "user_id", F.col("event_id").alias("seq"), "event_type", F.array(*COLS).alias("features"))
+    t = train(z(feat.sanitise(first, "event_type", "view")).select("stream_key", "seq", "features"), BASE)
+    scored = scoring.predict(z(rest), t.models).withColumn("truth", feat.recode("event_type", "view")).drop("features")
+    a = t.transitions.drop("stream_key")
+    point = metrics.auc(scoring.point_anomaly(scored), "anomaly", "truth").withColumnRenamed("auc", "auc_point")
+    context = metrics.auc(scoring.context_anomaly(scored, transitions.rarity(a), BASE.drift_threshold), "anomaly", "truth").withColumnRenamed("auc", "auc_context")
+    together = metrics.auc(scoring.collective_anomaly(scored, transitions.markov(a), 5, ["user_id"]), "anomaly", "truth").withColumnRenamed("auc", "auc_collective")
+    return point.crossJoin(F.broadcast(context)).crossJoin(F.broadcast(together)).select(*(r6(c).alias(c) for c in ("auc_point", "auc_context", "auc_collective")))
+
+
+@query()
+def variants_synthetic(spark, d):
+    """The first algorithm, the overlap-aware one and incremental models on one stream of known concepts: contexts found and
+    agreement with the truth. The stream is generated; sf_dir is not read."""
+    from contextloom.sources import synth
+
+    obs = synth.stream(spark, [150, 100, 120, 90, 140], n_features=4, offset_scale=6.0, seed=9)
+    grid = [Params(drift_threshold=1.2, drift_size=12, model_mem=100, p_var=0.9, algorithm=a, model_backend=b) for a, b in (("v1", "batch_pca"), ("v2", "batch_pca"), ("v1", "incremental"))]
+    got = sweep(obs.select("stream_key", "seq", "features"), grid).labels.join(obs, ["stream_key", "seq"])
+    table = got.groupBy("param_id", F.col("context_id").alias("u"), F.col("truth").alias("v")).agg(F.count("*").alias("n"))
+    rows = None
+    for i, name in enumerate(("v1", "v2", "incremental")):
+        mine = table.where(F.col("param_id") == i)
+        one = metrics.adjusted_rand(mine).crossJoin(F.broadcast(mine.agg(F.countDistinct("u").alias("n_contexts")))).select(F.lit(name).alias("variant"), r6("ari").alias("ari"), "n_contexts")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

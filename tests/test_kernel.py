@@ -199,3 +199,16 @@ def test_params_are_checked():
         k = Kernel(Params(drift_threshold=1, drift_size=1))
         k.step(3, np.zeros(2))
         k.step(3, np.zeros(2))
+
+
+@pytest.mark.parametrize("changes", [{}, {"algorithm": "v2"}, {"model_backend": "incremental"}, {"model_limit": 2}])
+def test_a_kernel_kept_and_loaded_goes_on_as_before(changes):
+    x = spells(5)
+    p = Params(**{"drift_threshold": 4.0, "drift_size": 8, "model_mem": 20} | changes)
+    _, want = run(x, p)
+    k, out = Kernel(p), []
+    for t, r in enumerate(x):
+        if t % 17 == 0:
+            k = Kernel.load(k.dump())
+        out += k.step(t, r)
+    assert out + k.close() == want
