@@ -38,7 +38,7 @@ def component_count(values: DataFrame, by: str, value: str, p_var: float) -> Dat
 
 def fit(obs: DataFrame, by: str, p_var: float = 0.98, mem: int = 500) -> DataFrame:
     """A model per group from the latest `mem` rows: obs has `by`, seq, features. Ids are ranks of the groups' names."""
-    spark = ship(obs.sparkSession)
+    ship(obs.sparkSession)
     kind = obs.schema[by].dataType.simpleString()
     ids = obs.select(by).distinct().withColumn("model_id", F.row_number().over(Window.orderBy(by)))  # groups are few
     latest = obs.withColumn("age", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("seq")))).where(F.col("age") <= mem).drop("age")
@@ -51,6 +51,4 @@ def fit(obs: DataFrame, by: str, p_var: float = 0.98, mem: int = 500) -> DataFra
         return pd.DataFrame([{by: pdf[by].iloc[0], **m}])
 
     fields = MODEL[len("struct<") : -1].replace(":", " ")
-    fields = fields.replace("array<array<double>>", "array<array<double>>")
-    _ = spark
-    return latest.join(F.broadcast(ids), by).groupBy(by).applyInPandas(one, f"`{by}` {kind}, {fields}")
+    return latest.join(ids, by).groupBy(by).applyInPandas(one, f"`{by}` {kind}, {fields}")

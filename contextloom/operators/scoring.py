@@ -89,7 +89,7 @@ def point_anomaly(labels: DataFrame) -> DataFrame:
 def context_anomaly(labels: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
     """The share of transitions that lead to the row's context, if its score is below the threshold, else 0. Frequent
     contexts score high: read it with metrics.auc, which takes either direction. rarity: to_id, rarity."""
-    r = F.broadcast(rarity.withColumnRenamed("to_id", "context_id"))  # a row per model
+    r = rarity.withColumnRenamed("to_id", "context_id")  # a row per model: Spark broadcasts it where it is small
     return labels.join(r, "context_id", "left").withColumn("anomaly", F.when(F.col("score") < threshold, F.coalesce("rarity", F.lit(0.0))).otherwise(F.lit(0.0))).drop("rarity")
 
 
@@ -98,7 +98,7 @@ def collective_anomaly(labels: DataFrame, chain: DataFrame, window: int, key: li
     row's chance is 1, that of a transition never seen 0. chain: from_id, to_id, p. Both windows share one sort."""
     w = Window.partitionBy(*key).orderBy(seq)
     moved = labels.withColumns({"from_id": F.lag("context_id").over(w), "__k": F.row_number().over(w)})
-    c = F.broadcast(chain.select("from_id", F.col("to_id").alias("context_id"), "p"))  # at most a row per pair of models
+    c = chain.select("from_id", F.col("to_id").alias("context_id"), "p")  # a row per pair seen: Spark broadcasts it where it is small
     p = F.when(F.col("__k") == 1, F.lit(1.0)).otherwise(F.coalesce("p", F.lit(0.0)))
     scored = moved.join(c, ["from_id", "context_id"], "left").withColumn("p", p)
     mean = F.avg("p").over(w.rowsBetween(-(window - 1), 0))

@@ -168,3 +168,14 @@ def test_online_training_is_deterministic_and_learns_between_batches(spark, obs,
             k.refresh()
         out += k.step(r.seq, np.array(r.features))
     assert labels == [(s, c) for s, c, *_ in sorted(out)]
+
+
+def test_online_training_by_foreach_batch_equals_replay(spark, obs, tmp_path):
+    want = found(replay(OnlineTrainer(P, str(tmp_path / "a")), obs, 4, 50))
+    (tmp_path / "in").mkdir()
+    b = OnlineTrainer(P, str(tmp_path / "b"))
+    for v in range(4):  # each round restarts from the checkpoint
+        obs.where((F.col("seq") >= v * 50) & (F.col("seq") < (v + 1) * 50)).select("stream_key", "seq", "features").coalesce(1).write.parquet(str(tmp_path / "in" / str(v)))
+        src = spark.readStream.schema("stream_key long, seq long, features array<double>").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        src.writeStream.foreachBatch(b.process).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert found(b.labels(spark)) == want
