@@ -267,7 +267,7 @@ class Kernel:
         best, score = self._scores(x)
         if score > p.drift_threshold:
             self.buffer.append((seq, x, score))
-            return self._born(seq) if len(self.buffer) == p.drift_size else []
+            return self._born(seq) if len(self.buffer) >= p.drift_size and self._varied() else []
         held = [(s, r) for s, r, _ in self.buffer]
         out = []
         if held:
@@ -284,6 +284,13 @@ class Kernel:
         self.current = best
         return [*out, (seq, best, score, False)]
 
+    def _varied(self) -> bool:
+        """Whether the buffer can be an incremental model: its rows spread in more than one direction. Until then it grows."""
+        if self.params.model_backend != "incremental":
+            return True
+        x = np.array([r for _, r, *_ in self.buffer])
+        return x.shape[1] == 1 or np.linalg.matrix_rank(x - x.mean(0)) > 1
+
     def _moved(self, to: int, n: int) -> None:
         """n rows in a row get label `to`."""
         self.transitions[self.current, to] += 1

@@ -212,3 +212,9 @@ def test_a_kernel_kept_and_loaded_goes_on_as_before(changes):
             k = Kernel.load(k.dump())
         out += k.step(t, r)
     assert out + k.close() == want
+
+
+def test_an_incremental_model_needs_more_than_one_direction():
+    x = np.concatenate([spells(1, n=2, parts=((0, 20),)), 30 + np.arange(8.0)[:, None] * [1, 1], [[30.0, 44.0]], 30 + np.arange(4.0)[:, None] * [1, 1]])
+    k, out = run(x, Params(drift_threshold=4.0, drift_size=5, model_mem=20, model_backend="incremental"))
+    assert [c for _, c, _, _ in sorted(out)][:29] == [1] * 20 + [2] * 9
