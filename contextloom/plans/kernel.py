@@ -15,6 +15,10 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
+#: Up to so many features, models are scored together.
+NARROW = 16
+
+
 @dataclass(frozen=True)
 class Params:
     """drift_threshold: largest acceptable score. drift_size: outliers that make a model (v2: length of the window).
@@ -235,6 +239,7 @@ class Kernel:
     buffer: deque = field(default_factory=deque)  # v1: (seq, row, score); v2: (seq, row, score, model)
     transitions: dict[tuple[int, int], int] = field(default_factory=lambda: defaultdict(int))
     closed: bool = False
+    _stack: tuple | None = None  # what _scores keeps of the models
 
     def _make(self, rows: list[tuple[int, np.ndarray]], seq: int) -> int:
         kind = IncrementalModel if self.params.model_backend == "incremental" else Model
@@ -244,7 +249,24 @@ class Kernel:
 
     def _scores(self, x: np.ndarray) -> tuple[int, float]:
         """The least score's model; of equal scores the least id."""
-        return min(((m.score(x), i) for i, m in self.models.items()))[::-1]
+        if len(x) > NARROW or len(self.models) == 1:
+            return min(((m.score(x), i) for i, m in self.models.items()))[::-1]
+        # Many models of few features: one product over all, whose rows follow the models' versions.
+        ids = sorted(self.models)
+        if self._stack is None or self._stack[0] != ids:
+            self._stack = (ids, [None] * len(ids), np.zeros((len(ids), len(x))), np.zeros((len(ids), len(x), len(x))))
+        _, seen, mu, form = self._stack
+        for k, i in enumerate(ids):
+            m = self.models[i]
+            if seen[k] is not m.coeff:
+                seen[k], mu[k], form[k] = m.coeff, m.centroid, m.coeff @ m.coeff.T
+        d = x - mu
+        square = np.einsum("ki,kij,kj->k", d, form, d)
+        k = int(square.argmin())
+        return ids[k], float(np.sqrt(max(square[k], 0.0)))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_stack": None}
 
     def _start(self) -> list[Label]:
         rows, self.waiting = self.waiting, []
