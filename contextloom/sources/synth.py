@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,11 +23,15 @@ def stream(spark: SparkSession, durations: list[int], *, concept_scale: float =
         spell = F.when(F.col("seq") < int(ends[i]), F.lit(i)).otherwise(spell)
     rows = spark.range(m * streams).select((F.col("id") / m).cast("long").alias("stream_key"), (F.col("id") % m).alias("seq")).withColumn("truth", (spell % n_concepts).cast("int"))
 
-    def number(j: int):
+    # Arrays and functions over them keep the expression small, however many features there are.
+    table = lambda part: F.element_at(F.array(*(F.array(*(F.lit(float(x)) for x in c[part])) for c in made)), F.col("truth") + 1)
+    rows = rows.withColumns({"__scale": table(0), "__offset": table(1)})
+
+    def number(j: Column) -> Column:
         # Box-Muller from two hashes of the row.
-        u = [(F.pmod(F.xxhash64(F.lit(seed), "stream_key", "seq", F.lit(j), F.lit(k)), F.lit(2**52)) + F.lit(0.5)) / float(2**52) for k in (0, 1)]
+        u = [(F.pmod(F.xxhash64(F.lit(seed), "stream_key", "seq", j, F.lit(k)), F.lit(2**52)) + F.lit(0.5)) / float(2**52) for k in (0, 1)]
         z = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * F.lit(np.pi) * u[1])
-        pick = lambda part: F.element_at(F.array(*(F.lit(float(c[part][j])) for c in made)), F.col("truth") + 1)
-        return z * pick(0) + pick(1)
+        return z * F.element_at("__scale", j + 1) + F.element_at("__offset", j + 1)
 
-    return rows.select("stream_key", "seq", F.array(*(number(j) for j in range(n_features))).alias("features"), "truth")
+    features = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), number)
+    return rows.select("stream_key", "seq", features.alias("features"), "truth")
