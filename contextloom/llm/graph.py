@@ -10,17 +10,26 @@ from contextloom.runtime import cut
 _MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """rows joined with (a, m) of their node a. A node of at least `hub` neighbours gets its m by broadcast, so its rows stay
+    where they are; hub is a thousandth of the edges or more, so there are two thousand such nodes at most."""
+    large = F.broadcast(least.where(F.col("n") >= hub).select("a", F.col("m").alias("hm")))
+    marked = rows.join(large, "a", "left")
+    fast = marked.where(F.col("hm").isNotNull()).select("a", "b", F.col("hm").alias("m"))
+    return fast.unionByName(marked.where(F.col("hm").isNull()).select("a", "b").join(least.where(F.col("n") < hub).select("a", "m"), "a"))
+
+
+def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
     """Hang neighbours on the least neighbour: larger ones (large star), or smaller ones and the node itself.
 
     The least neighbour comes from a pre-aggregated groupBy, so a node with very many neighbours needs no buffer."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        out = _with_least(both.where(F.col("b") > F.col("a")), least, hub).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        out = _with_least(edges, least, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
@@ -35,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(_MAX_ROUNDS):
         if not seen[0]:
             break
-        e = cut(_star(_star(e, True), False))
+        hub = max(100, seen[0] // 1000)
+        e = cut(_star(cut(_star(e, True, hub)), False, hub))
         now = mark(e)
         if now == seen:
             break
