@@ -91,7 +91,7 @@ def positions(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sou
     whole = weigh(counts, weights, resolution)
     plan = phases([-(-counts[s] // block_rows) for s in names], [whole[s] for s in names])
     table = spark.createDataFrame([(p, names[i], a, n, t, period, s) for p, i, a, n, t, period, s in plan], "phase int, stream string, first long, n long, start long, period long, slots array<int>")
-    bits = max(4, (total // 20_000).bit_length())
+    bits = max(8, (total // 20_000).bit_length())
     h = F.xxhash64(F.col("id").cast("string"))
     hashed = rows.withColumns({"h": h, "range": F.shiftrightunsigned(h, 64 - bits)})
     before = hashed.groupBy("stream", "range").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(Window.partitionBy("stream").orderBy("range")) - F.col("k")).drop("k")
