@@ -50,8 +50,8 @@ def content(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = np.maximum(K.word_count(w), 1)
     cell = w.doc * _TERMS + (w.hash >> _U(33)).astype(np.int64) % _TERMS
     bag = np.bincount(cell, minlength=rows * _TERMS).reshape(rows, _TERMS) / n[:, None]
-    pair = np.unique(np.stack([w.doc.astype(_U), w.hash], 1), axis=0)[:, 0].astype(np.int64) if len(w.doc) else np.zeros(0, np.int64)
-    kinds = np.bincount(pair, minlength=rows) / n
+    first = np.unique(w.hash ^ K.mix(w.doc.astype(_U) + _U(1)), return_index=True)[1]  # one of each word of each text
+    kinds = np.bincount(w.doc[first], minlength=rows) / n
     again = np.zeros(len(w.hash), bool)
     if len(again) > 1:
         again[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
