@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contextloom.plans.train import features_of
-from contextloom.runtime import ship
+from contextloom.runtime import cut, ship
 
 #: Most models that are broadcast, and most doubles of their matrices.
 MAX_MODELS = 100_000
@@ -33,11 +33,15 @@ def quadratic_score(cols: list[str]) -> Column:
     return F.sqrt(F.greatest(form, F.lit(0.0)))
 
 
+def held(small: DataFrame) -> DataFrame:
+    """A table of models or of their transitions, computed once and broadcast if it has at most MAX_MODELS rows."""
+    small = cut(small)
+    return F.broadcast(small) if small.limit(MAX_MODELS + 1).count() <= MAX_MODELS else small
+
+
 def score_all(rows: DataFrame, models: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
     """Every row with every model: keep, model_id, score. models: model_id, mu_<i>, s_<i>_<j>."""
-    n = models.limit(MAX_MODELS + 1).count()
-    side = F.broadcast(models) if n <= MAX_MODELS else models
-    return rows.crossJoin(side).select(*keep, "model_id", quadratic_score(cols).alias("score"))
+    return rows.crossJoin(held(models)).select(*keep, "model_id", quadratic_score(cols).alias("score"))
 
 
 def best(scores: DataFrame, keep: list[str]) -> DataFrame:
@@ -89,7 +93,7 @@ def point_anomaly(labels: DataFrame) -> DataFrame:
 def context_anomaly(labels: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
     """The share of transitions that lead to the row's context, if its score is below the threshold, else 0. Frequent
     contexts score high: read it with metrics.auc, which takes either direction. rarity: to_id, rarity."""
-    r = rarity.withColumnRenamed("to_id", "context_id")  # a row per model: Spark broadcasts it where it is small
+    r = held(rarity.withColumnRenamed("to_id", "context_id"))  # a row per model
     return labels.join(r, "context_id", "left").withColumn("anomaly", F.when(F.col("score") < threshold, F.coalesce("rarity", F.lit(0.0))).otherwise(F.lit(0.0))).drop("rarity")
 
 
@@ -98,7 +102,7 @@ def collective_anomaly(labels: DataFrame, chain: DataFrame, window: int, key: li
     row's chance is 1, that of a transition never seen 0. chain: from_id, to_id, p. Both windows share one sort."""
     w = Window.partitionBy(*key).orderBy(seq)
     moved = labels.withColumns({"from_id": F.lag("context_id").over(w), "__k": F.row_number().over(w)})
-    c = chain.select("from_id", F.col("to_id").alias("context_id"), "p")  # a row per pair seen: Spark broadcasts it where it is small
+    c = held(chain.select("from_id", F.col("to_id").alias("context_id"), "p"))  # a row per pair seen
     p = F.when(F.col("__k") == 1, F.lit(1.0)).otherwise(F.coalesce("p", F.lit(0.0)))
     scored = moved.join(c, ["from_id", "context_id"], "left").withColumn("p", p)
     mean = F.avg("p").over(w.rowsBetween(-(window - 1), 0))
