@@ -43,7 +43,7 @@ TOLERANCE = 1e-7
 BAND_ROWS = 6
 STEP = 32
 #: Rows and bytes of one block of a large component.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 BLOCK_BYTES = 8 << 20
 _U = np.uint64
 
