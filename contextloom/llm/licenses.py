@@ -73,11 +73,15 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice-kept", "mit-asis", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-notice-kept"]),
     ("MPL-2.0", ["mpl2-notice"]),
+    ("Unlicense", ["unlicense"]),
 ]
 
 #: Every known sentence has one of these.
 CUES = ("licen", "permission", "copyright", "warrant", "redistribut")
 
+#: Where a cut ends a sentence within a line.
+ENDS = "(?<=[.!?;:])[ \\t]+"
+
 
 def normalise(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
@@ -89,13 +93,27 @@ def _maximal() -> list[tuple[str, str, list[str]]]:
     return [(name, mark(ids), [mark(o) for other, o in RULES if other != name and len(o) > len(ids) and mark(ids) in mark(o)]) for name, ids in RULES]
 
 
+def _parts() -> dict[str, list[str]]:
+    """The normalised parts that the cut makes of each known sentence: some hold a sentence end inside."""
+    return {k: [normalise(p) for p in re.split(ENDS, s)] for k, s in SENTENCES.items()}
+
+
 def _known(sentences: Column) -> Column:
-    """Identifiers of the known sentences, in order, as ",a,b,"."""
-    table = {normalise(s): k for k, s in SENTENCES.items()}
-    plain = F.transform(F.filter(sentences, lambda s: reduce(lambda a, b: a | b, (s.contains(c) for c in CUES))), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = F.filter(plain, lambda s: s.isin(*table))
+    """Identifiers of the known sentences, in order, as ",a,b,". A sentence that the cut divides counts where all its parts
+    follow each other with nothing between."""
+    parts = _parts()
+    names = {k: [k] if len(ps) == 1 else [f"{k}/{i}" for i in range(len(ps))] for k, ps in parts.items()}
+    table = {p: n for k, ps in parts.items() for p, n in zip(ps, names[k], strict=True)}
+    # A part without a cue is looked for by its longest word.
+    cues = [*CUES, *sorted({max(p.split(), key=len) for p in table if not any(c in p for c in CUES)})]
     pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
-    return F.concat(F.lit(","), F.array_join(F.transform(found, lambda s: pairs[s]), ","), F.lit(","))
+    plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+    name = lambda s: F.when(reduce(lambda a, b: a | b, (s.contains(c) for c in cues)), F.coalesce(pairs[plain(s)], F.lit("?"))).otherwise(F.lit("?"))
+    out = F.concat(F.array_join(F.transform(sentences, name), ","), F.lit(","))
+    for k, ns in names.items():
+        if len(ns) > 1:
+            out = F.replace(out, F.lit(f"{','.join(ns)},"), F.lit(f"{k},"))
+    return F.concat(F.lit(","), F.regexp_replace(out, "(?:\\?|[a-z0-9-]+/[0-9]+),", ""))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,9 +122,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     any_cue = reduce(lambda a, b: a | b, (F.col("t").contains(c) for c in CUES))
     t = docs.select(F.col(id_col), text.alias("t")).withColumn("t", F.when(any_cue, F.col("t")).otherwise(F.lit("")))
-    ends = "(?<=[.!?;:])[ \\t]+"
-    lines = F.split("t", f"\\n|{ends}")
-    joined = F.split(F.regexp_replace("t", "([^\\n])\\n(?=[^\\n])", "$1 "), f"\\n\\n+|{ends}")
+    lines = F.split("t", f"\\n|{ENDS}")
+    joined = F.split(F.regexp_replace("t", "([^\\n])\\n(?=[^\\n])", "$1 "), f"\\n\\n+|{ENDS}")
     t = t.select(id_col, _known(lines).alias("a"), _known(joined).alias("b"))
     inside = lambda rule: F.col("a").contains(rule) | F.col("b").contains(rule)
     hits = []
@@ -115,11 +132,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         for o in longer:
             ok = ok & ~inside(o)
         hits.append(F.when(ok, F.lit(name)))
-    n = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit(","), F.lit(""))) - 1
+    n = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit(","), F.lit("")))
     more = n("a") >= n("b")
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
     best = F.when(more, F.col("a")).otherwise(F.col("b"))
-    out = t.select(id_col, F.when(best == ",,", F.lit("")).otherwise(F.trim(best, F.lit(","))).alias("sentence_ids"), found.alias("f"))
+    out = t.select(id_col, F.when(best == ",", F.lit("")).otherwise(F.trim(best, F.lit(","))).alias("sentence_ids"), found.alias("f"))
     count = F.when(F.col("sentence_ids") == "", 0).otherwise(F.size(F.split("sentence_ids", ",")))
     return out.select(id_col, count.cast("long").alias("n_known"), "sentence_ids", F.array_join("f", ",").alias("licenses"), F.size("f").cast("long").alias("n_licenses"))
 

@@ -41,3 +41,21 @@ def test_messy_rows(messy, messy_rows, nothing):
 def test_the_tables_are_sound():
     assert all(any(c in s.lower() for c in L.CUES) for s in L.SENTENCES.values())
     assert {i for _, ids in L.RULES for i in ids} <= set(L.SENTENCES) and len({L.normalise(s) for s in L.SENTENCES.values()}) == len(L.SENTENCES)
+
+
+def test_every_rule_finds_its_own_text(spark):
+    texts = [(k, name, sep.join(form(L.SENTENCES[i]) for i in ids)) for k, (name, ids, sep, form) in enumerate((n, i, s, f) for n, i in L.RULES for s, f in (("\n", str), ("\n\n", wrapped)))]
+    df = spark.createDataFrame([(k, t) for k, _, t in texts], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in L.scan(df).collect()}
+    assert got == {k: name for k, name, _ in texts}
+    assert {i for _, ids in L.RULES for i in ids} == set(L.SENTENCES)
+
+
+def test_a_divided_sentence_counts_once_and_only_whole(spark):
+    gpl = [L.SENTENCES[k] for k in ("gpl-redistribute", "gpl-hope", "gpl-implied", "gpl-see")]
+    mpl = L.SENTENCES["mpl2-notice"]
+    header = wrapped(f"{gpl[0]} {gpl[1]}; {gpl[2]} {gpl[3]}")
+    texts = [header, f"{mpl} {mpl}", mpl.replace("2.0", "1.1"), "A license. 2.0. This program is free software: it is.", f"{MIT[0]} 2.0. {MIT[1]}", mpl.replace("v. 2.0", "v. or so. 2.0")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r)[1:4] for r in L.scan(df).orderBy("doc_id").collect()]
+    assert got == [(4, "gpl-redistribute,gpl-hope,gpl-implied,gpl-see", "GPL-3.0"), (2, "mpl2-notice,mpl2-notice", "MPL-2.0"), (0, "", ""), (0, "", ""), (2, "mit-grant,mit-notice-kept", "MIT"), (0, "", "")]
