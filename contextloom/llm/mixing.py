@@ -3,16 +3,17 @@
 A source's documents, in a pseudo-random but fixed order, are cut into blocks of `block_rows`. With weight w the k-th
 block (from 1) is released at slot floor((k - 1) / w) and due at slot ceil(k / w); in each slot the released block with
 the earliest deadline goes next. After any number of slots of a phase every source has then had its weighted share to
-within less than one block. Weights are whole numbers out of about `resolution`, so the schedule repeats after their sum
-of slots: it is made once for each phase and each block finds its slot by arithmetic, without a loop over the data. A
-phase ends when a source has no block left; the next one shares the slots among the others. Nothing is dropped or repeated.
+within less than one block. Weights are exact: the floating-point numbers given, as whole numbers of one common unit, so
+the bound holds against the targets themselves after any number of slots. The schedule repeats after the sum of the whole
+weights; it is made once for each phase, for that many slots or as many as the phase has, and each block finds its slot by
+arithmetic, without a loop over the rows. A phase ends when a source has no block left; the next one shares the slots among the others. Nothing is dropped or repeated.
 
 A source may hold any share of the rows: rows are ranked in hash ranges of a source, whose counts are added up, and no
 task gets a whole source. The driver holds the counts of at most `max_sources` sources, the smaller rest forming one
-stream, and a schedule of sources times resolution numbers at most.
+stream, and a schedule of a number for each block at most (1 / `block_rows` of the rows).
 
 Null sources form a stream of their own. Rows that repeat an id stay next to each other, in any order. Null ids are ranked
-like other values. A source that weights don't name gets the least weight. An empty table gives an empty result. Extra
+like other values. A source that weights don't name, or name with 0, gets 1 / `resolution` of the sum of the weights. An empty table gives an empty result. Extra
 columns are kept by `interleave`.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,14 +35,15 @@ _REST = "\x00rest"
 _NULL = "\x00null"
 
 
-def slots(weights: list[int]) -> list[list[int]]:
-    """The slots of each source in one period of sum(weights) slots, by earliest deadline among released blocks."""
+def slots(weights: list[int], limit: int | None = None) -> list[list[int]]:
+    """The slots of each source in one period of sum(weights) slots, or the first `limit` of it, by earliest deadline among
+    released blocks."""
     period = sum(weights)
     waiting = [(0, i, 1) for i in range(len(weights))]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []  # deadline, source, block
     out: list[list[int]] = [[] for _ in weights]
-    for t in range(period):
+    for t in range(period if limit is None else min(period, limit)):
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-k * period // weights[i]), i, k))
@@ -56,9 +59,12 @@ def phases(blocks: list[int], weights: list[int]) -> list[tuple[int, int, int, i
     given, start, phase, out = [0] * len(blocks), 0, 0, []
     while live := [i for i, n in enumerate(blocks) if n > given[i]]:
         w = [weights[i] for i in live]
-        period, plan = sum(w), slots(w)
-        left = [blocks[i] - given[i] for i in live]
-        end = min((n - 1) // len(p) * period + p[(n - 1) % len(p)] for n, p in zip(left, plan, strict=True)) + 1
+        period, left = sum(w), [blocks[i] - given[i] for i in live]
+        # By then the first source has had its last block.
+        due = min(-(-n * period // x) for n, x in zip(left, w, strict=True))
+        plan = slots(w, due)
+        period = min(period, due)
+        end = min((n - 1) // len(p) * period + p[(n - 1) % len(p)] for n, p in zip(left, plan, strict=True) if p and (period < due or n <= len(p))) + 1
         for i, p in zip(live, plan, strict=True):
             n = end // period * len(p) + bisect_left(p, end % period)
             if n:
@@ -69,10 +75,14 @@ def phases(blocks: list[int], weights: list[int]) -> list[tuple[int, int, int, i
 
 
 def weigh(counts: dict[str, int], weights: dict[str, float] | None, resolution: int) -> dict[str, int]:
-    """Whole weights of at least 1. Without target weights they follow the square root of the counts."""
+    """Whole weights in the exact proportions of the targets. Without target weights they follow the square root of the counts."""
     w = {s: n**0.5 for s, n in counts.items()} if weights is None else {s: float(weights.get(s, 0)) for s in counts}
-    total = sum(w.values()) or 1.0
-    return {s: max(1, round(resolution * x / total)) for s, x in w.items()}
+    least = (sum(w.values()) or 1.0) / resolution
+    ratios = {s: (x if x > 0 else least).as_integer_ratio() for s, x in w.items()}
+    unit = lcm(*(d for _, d in ratios.values()))
+    whole = {s: n * (unit // d) for s, (n, d) in ratios.items()}
+    common = gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()}
 
 
 def positions(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, max_sources: int = MAX_SOURCES) -> DataFrame:

@@ -72,3 +72,24 @@ def test_rows_come_in_mixed_order(documents):
     at = {r.doc_id: r.position for r in mixing.positions(documents).collect()}
     got = [at[r.doc_id] for r in mixing.interleave(documents).select("doc_id").collect()]
     assert got == sorted(got)
+
+
+@pytest.mark.parametrize("target", [{"a": 0.0001, "b": 0.3337, "c": 0.6662}, None])
+def test_shares_keep_to_the_exact_targets_over_many_slots(target):
+    counts = {"a": 11, "b": 30_011, "c": 60_013} if target else {"a": 1_234_567, "b": 777_777, "c": 9_876_543}
+    whole = mixing.weigh(counts, target, mixing.RESOLUTION)
+    exact = target or {s: n**0.5 for s, n in counts.items()}
+    for s in counts:
+        assert abs(whole[s] / sum(whole.values()) - exact[s] / sum(exact.values())) < 1e-12
+    blocks = [min(n, 40_000) for n in counts.values()]
+    at = [[] for _ in counts]
+    for phase, i, first, n, start, period, slots in mixing.phases(blocks, list(whole.values())):
+        if phase == 0:
+            assert first == 0
+            at[i] = [start + j // len(slots) * period + slots[j % len(slots)] for j in range(n)]
+    end = 1 + max(p[-1] for p in at if p)
+    assert end > 20_000 and sorted(t for p in at for t in p) == list(range(end))
+    for p, x in zip(at, exact.values(), strict=True):
+        share = x / sum(exact.values())
+        for k, t in enumerate(p):  # just before and just after each block
+            assert k - t * share > -1 - 1e-6 and k + 1 - (t + 1) * share < 1 + 1e-6
