@@ -120,10 +120,10 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, n_bands: int) -> DataFr
 
 
 class Cell:
-    """The candidates of one component, or of two blocks of one (left and right; equal blocks: within)."""
+    """The candidates of one component, or of two blocks of one (left and right; within: equal blocks)."""
 
-    def __init__(self, ids: np.ndarray, side: np.ndarray, texts: pa.Array, threshold: float, tolerance: float, n_hash: int):
-        self.ids, self.side, self.t, self.tol, self.n_hash = ids, side, threshold, tolerance, n_hash
+    def __init__(self, ids: np.ndarray, side: np.ndarray, texts: pa.Array, threshold: float, tolerance: float, n_hash: int, within: bool):
+        self.ids, self.side, self.t, self.tol, self.n_hash, self.within = ids, side, threshold, tolerance, n_hash, within
         self.sets: list[np.ndarray] = []
         for _, _, data, off in K.blocks(texts):
             self.sets += document_sets(data, off)
@@ -132,7 +132,7 @@ class Cell:
     def survivors(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that the comparison of MinHash values doesn't drop."""
         sig = np.stack([signature(s, self.n_hash) for s in self.sets])
-        two = len(np.unique(self.side)) > 1
+        two = not self.within
         left, right = (np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1)) if two else (np.arange(len(sig)), np.arange(len(sig)))
         a, b = [], []
         head = np.ascontiguousarray(sig[:, : STEP])
@@ -206,11 +206,11 @@ def _verify(members: DataFrame, threshold: float, tolerance: float, n_hash: int)
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(parts).combine_chunks()
-        side = t.column("side").to_numpy()
-        if t.num_rows < 2:
+        side, within = t.column("side").to_numpy(), t.column("i")[0] == t.column("j")[0]
+        if t.num_rows < 2 or not within and side.min() == side.max():  # of two blocks one is empty: the other has a cell of its own
             return None
         ids = t.column("id").to_numpy()
-        n, root = Cell(ids, side, t.column("text").combine_chunks(), threshold, tolerance, n_hash).result()
+        n, root = Cell(ids, side, t.column("text").combine_chunks(), threshold, tolerance, n_hash, within).result()
         ok = n > 0
         return pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(n[ok]), pa.array(root[ok])], names=["id", "n", "root"])
 

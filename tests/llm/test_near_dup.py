@@ -88,3 +88,15 @@ def test_components(spark):
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
     got = components(spark.createDataFrame(edges, "a long, b long"))
     assert {(x.node, x.root) for x in got.collect()} == set(want.items())
+
+
+def test_empty_blocks_add_no_links(spark):
+    r = random.Random(11)
+    for n in (2, 3):  # two or three near copies in many blocks, most of them empty
+        words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        rows = [(i, " ".join([*words, f"tail{i}"])) for i in range(n)]
+        got = N.join(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=500).collect()
+        assert sorted((x.doc_id, x.n_links, x.group_id) for x in got) == [(i, n - 1, 0) for i in range(n)]
+    many = [(i, " ".join([*words, f"tail{i}"])) for i in range(12)]
+    got = N.join(spark.createDataFrame(many, "doc_id long, text string"), block_rows=4).collect()
+    assert {(x.n_links, x.group_id) for x in got} == {(11, 0)}
