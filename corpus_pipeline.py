@@ -31,7 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    # Rows come back from files in no order: the mixed one is restored, so that packing windows follow it.
+    return packing.pack(mixing.interleave(docs))
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("benchmark_decontamination", drop_contaminated), ("source_mixing", mix_sources), ("token_output", pack_tokens)]

@@ -2,7 +2,7 @@ import corpus_pipeline
 import numpy as np
 from brute import hits, near_groups
 
-from contextloom.llm import packing, toxicity
+from contextloom.llm import mixing, packing, toxicity
 
 DIR = "/root/testdata/sf0.001"
 
@@ -31,3 +31,21 @@ def test_stages_return_the_columns_of_documents(spark, documents, nothing):
         docs = stage(spark, docs, DIR)
         assert docs.columns == documents.columns and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == 0
+
+
+def test_packing_windows_follow_the_mixed_order(spark, documents, tmp_path):
+    corpus_pipeline.mix_sources(spark, documents, DIR).repartition(6).write.parquet(f"{tmp_path}/mixed")
+    docs = spark.read.parquet(f"{tmp_path}/mixed")
+    at = {r.doc_id: r.position for r in mixing.positions(docs).collect()}
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        rows = corpus_pipeline.pack_tokens(spark, docs, DIR).collect()
+    finally:
+        spark.conf.unset(key)
+    windows = {}
+    for r in rows:
+        windows.setdefault(r.pack_id >> 40, []).extend(at[d] for d in r.doc_ids)
+    assert len(windows) > 1
+    order = [windows[k] for k in sorted(windows)]
+    assert all(max(a) < min(b) for a, b in zip(order[:-1], order[1:], strict=True))
