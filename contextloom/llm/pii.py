@@ -8,8 +8,9 @@ stated precision select what is added. Strict spans always stay.
 There are no labels of personal data, so the trees are trained here on a fixed number of examples that a seeded generator
 writes: true and false cases of each kind in prose. They see neither the corpus nor its labels.
 
-Every generator needs a digit, an '@' or a bracketed "at"; texts without any of these bytes are passed over at once. Long
-runs cost linear time: no pattern is tried again from inside a run that it failed on.
+Every generator needs a digit, an '@', a bracketed "at", three groups of hex letters before colons, or eight characters given
+to what may be a credential's keyword; texts without any of these are passed over at once. Runs are open-ended and cost
+linear time: no pattern is tried again from inside a run that it failed on.
 
 Null and empty texts have no spans. Rows that repeat are reported each for itself. An empty table gives an empty result.
 Offsets are code points, ends exclusive. Other columns are left alone, and kept by `redact`.
@@ -42,12 +43,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOOSE = {
-    "email": re.compile(r"(?<![\w.+-])[\w.+-]{2,40}\s?(?:\(at\)|\[at\])\s?[\w-]{2,40}(?:\s?(?:\(dot\)|\[dot\]|\.)\s?[\w-]{2,20}){1,3}"),
+    "email": re.compile(r"(?<![\w.+-])[\w.+-]++\s?(?:\(at\)|\[at\])\s?[\w-]++(?:\s?(?:\(dot\)|\[dot\]|\.)\s?[\w-]{2,}+){1,3}(?:(?:\s?(?:\(dot\)|\[dot\])\s?|\.)[\w-]++)*+"),
     "phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"),
     "card": re.compile(r"(?<![\w.-])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.-])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\w.-])"),
     "address6": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![\w:])"),
-    "credential": re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+.-]{8,200})"),
+    "credential": re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+.-]{8,}+)"),
     "national": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
 }
 _CUES = ("mail", "contact", "write", "call", "phone", "tel", "fax", "card", "visa", "pay", "ip", "host", "server", "address", "password", "token", "secret", "key", "ssn", "social", "version", "order", "page", "isbn", "section", "total")
@@ -236,6 +237,9 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(0x30, 0x3A), 0x40]] = True
 _BRACKET = re.compile(rb"[(\[]at[)\]]")
+_HEX = re.compile(rb"[A-Fa-f]:[A-Fa-f]{1,4}:[A-Fa-f]{1,4}:")
+#: Any credential: the last letter of a keyword, and any bytes of non-ASCII characters where the pattern may match some.
+_GIVEN = re.compile(rb"[dntyDNTY][\s\x1c-\x1f\x80-\xff]{0,9}[=:][\s\x1c-\x1f\x80-\xff]{0,9}[\"']?[A-Za-z0-9_/+.\x80-\xff-]{8}")
 
 
 def _scan(column: pa.Array, trees: Boosted, limits: dict[str, float]) -> Iterator[tuple[int, str, list, list]]:
@@ -243,7 +247,8 @@ def _scan(column: pa.Array, trees: Boosted, limits: dict[str, float]) -> Iterato
     for start, stop, data, off in K.blocks(column):
         hit = np.flatnonzero(_TRIGGER[data])
         rows = set(np.unique(np.searchsorted(off, hit, side="right") - 1).tolist())
-        rows |= {int(np.searchsorted(off, m.start(), side="right")) - 1 for m in _BRACKET.finditer(data.tobytes())}
+        raw = data.tobytes()
+        rows |= {int(np.searchsorted(off, m.start(), side="right")) - 1 for p in (_BRACKET, _HEX, _GIVEN) for m in p.finditer(raw)}
         for i in sorted(rows):
             text = data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
             yield start + i, text, *all_spans(text, trees, limits)

@@ -3,6 +3,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,3 +75,27 @@ def test_redact_keeps_columns(spark, messy):
     assert out.columns == messy.columns and out.count() == messy.count()
     df = spark.createDataFrame([(1, "é mail a.b@c.de, host 10.0.0.1."), (2, None)], "doc_id long, text string")
     assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["é mail [EMAIL], host [IP].", None]
+
+
+def test_long_cases_are_candidates_as_a_whole():
+    for n in (8, 200, 201, 1000, 100_000):
+        text = f"token={'aB3' * n} end"
+        assert (6, 6 + 3 * n, "credential") in pii.loose_spans(text)
+    for local, host in (("a" * 41, "mail"), ("x", "mail"), ("joe", "m" * 41), ("joe", "m")):
+        text = f"write {local} (at) {host} (dot) org now"
+        assert (6, len(text) - 4, "email") in pii.loose_spans(text)
+    text = f"write joe (at) a (dot) {'b' * 21} (dot) cc (dot) dd (dot) e.org now"
+    assert (6, len(text) - 4, "email") in pii.loose_spans(text)
+
+
+def test_a_long_token_is_redacted_to_its_end(spark):
+    token = "".join("0123456789abcdef"[(7 * k * k + k) % 16] for k in range(700))
+    out = pii.redact(spark.createDataFrame([(1, f"my token={token} end")], "doc_id long, text string")).first().text
+    assert out == "my token=[CREDENTIAL] end"
+
+
+def test_a_candidate_is_scanned_without_a_digit_elsewhere():
+    texts = ["password = qwertyuiopas", "API-KEY:\u00a0\"abcdefghi", "To\u212aen: abc\u017fdefgh", "at abcd:ef:ab:cd:fe", "see f:a:c:e"]
+    assert all(pii.loose_spans(t) for t in texts)
+    got = {i for i, *_ in pii._scan(pa.array([*texts, "nothing here: at all"]), *pii.model())}
+    assert got == set(range(len(texts)))
