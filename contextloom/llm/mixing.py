@@ -9,8 +9,8 @@ weights; it is made once for each phase, for that many slots or as many as the p
 arithmetic, without a loop over the rows. A phase ends when a source has no block left; the next one shares the slots among the others. Nothing is dropped or repeated.
 
 A source may hold any share of the rows: rows are ranked in hash ranges of a source, whose counts are added up, and no
-task gets a whole source. The driver holds the counts of at most `max_sources` sources, the smaller rest forming one
-stream, and a schedule of a number for each block at most (1 / `block_rows` of the rows).
+task gets a whole source. The driver holds the counts of at most `max_sources` sources, those that weights name in any
+case. The smaller rest forms one stream, and none of the rest has a bound of its own. The driver holds a schedule of a number for each block at most (1 / `block_rows` of the rows).
 
 Null sources form a stream of their own. Rows that repeat an id stay next to each other, in any order. Null ids are ranked
 like other values. A source that weights don't name, or name with 0, gets 1 / `resolution` of the sum of the weights. An empty table gives an empty result. Extra
@@ -90,13 +90,14 @@ def positions(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sou
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("stream"))
     by = rows.groupBy("stream").agg(F.count("*").alias("n"))
-    top = [tuple(r) for r in by.orderBy(F.desc("n"), "stream").limit(max_sources).collect()]
+    named = list(weights or {})
+    top = [tuple(r) for r in by.orderBy(F.col("stream").isin(named).desc(), F.desc("n"), "stream").limit(max(max_sources, len(named))).collect()]
     total = by.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counts = dict(sorted(top))
     if (rest := total - sum(counts.values())) > 0:
         counts[_REST] = rest
-        named = F.broadcast(spark.createDataFrame([(s,) for s, _ in top], "stream string"))
-        rows = rows.join(named.withColumn("known", F.lit(True)), "stream", "left").withColumn("stream", F.when(F.col("known"), F.col("stream")).otherwise(F.lit(_REST))).drop("known")
+        single = F.broadcast(spark.createDataFrame([(s,) for s, _ in top], "stream string"))
+        rows = rows.join(single.withColumn("known", F.lit(True)), "stream", "left").withColumn("stream", F.when(F.col("known"), F.col("stream")).otherwise(F.lit(_REST))).drop("known")
     names = list(counts)
     whole = weigh(counts, weights, resolution)
     plan = phases([-(-counts[s] // block_rows) for s in names], [whole[s] for s in names])

@@ -93,3 +93,10 @@ def test_shares_keep_to_the_exact_targets_over_many_slots(target):
         share = x / sum(exact.values())
         for k, t in enumerate(p):  # just before and just after each block
             assert k - t * share > -1 - 1e-6 and k + 1 - (t + 1) * share < 1 + 1e-6
+
+
+def test_a_small_source_named_in_weights_gets_its_target(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, "small").otherwise(F.concat(F.lit("big"), (F.col("id") % 5).cast("string"))).alias("source"))
+    rows = mixing.positions(df, weights={"small": 0.5, "big0": 0.5}, max_sources=3, block_rows=4).where("phase = 0").collect()
+    slots, small = 1 + max(r.slot for r in rows), len({r.slot for r in rows if r.source == "small"})
+    assert small == 10 and abs(small - slots * 0.5) < 1.1
