@@ -36,6 +36,15 @@ def component_count(values: DataFrame, by: str, value: str, p_var: float) -> Dat
     return ranked.groupBy(by).agg(F.coalesce(first, F.max("k")).cast("long").alias("n_pcs"))
 
 
+def find_rank(values: DataFrame, by: str, value: str, share: float) -> DataFrame:
+    """rank per group: the fewest of the largest values that hold strictly more than `share` of the total; all of them where
+    none do, as with a share of 1."""
+    w = Window.partitionBy(by)
+    order = w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.select(by, F.row_number().over(w.orderBy(F.desc(value))).alias("k"), (F.sum(value).over(order) / F.sum(value).over(w)).alias("held"))
+    return ranked.groupBy(by).agg(F.coalesce(F.min(F.when(F.col("held") > share, F.col("k"))), F.max("k")).cast("long").alias("rank"))
+
+
 def fit(obs: DataFrame, by: str, p_var: float = 0.98, mem: int = 500) -> DataFrame:
     """A model per group from the latest `mem` rows: obs has `by`, seq, features. Ids are ranks of the groups' names."""
     ship(obs.sparkSession)

@@ -25,10 +25,13 @@ def markov(transitions: DataFrame, key: list[str] | None = None) -> DataFrame:
     return transitions.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*(key or []), "from_id")))
 
 
-def rarity(transitions: DataFrame) -> DataFrame:
-    """to_id, rarity: the share of all transitions that lead to a context."""
-    total = F.broadcast(transitions.agg(F.sum("n").alias("total")))  # one row
-    return transitions.groupBy("to_id").agg(F.sum("n").alias("n")).crossJoin(total).select("to_id", (F.col("n") / F.col("total")).alias("rarity"))
+def rarity(transitions: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """key, to_id, rarity: the share of all transitions (of the key) that lead to a context."""
+    key = key or []
+    total = transitions.groupBy(*key).agg(F.sum("n").alias("total"))
+    to = transitions.groupBy(*key, "to_id").agg(F.sum("n").alias("n"))
+    both = to.join(total, key) if key else to.crossJoin(F.broadcast(total))  # one row
+    return both.select(*key, "to_id", (F.col("n") / F.col("total")).alias("rarity"))
 
 
 def next_context(chain: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ class Model:
     REFRESH = 256
 
     def __init__(self, model_id: int, rows: list[tuple[int, np.ndarray]], seq: int, p: Params):
-        self.id, self.p, self.last = model_id, p, seq
+        self.id, self.p, self.last, self.version = model_id, p, seq, 0
         self.memory: deque[tuple[int, np.ndarray]] = deque(rows)
         self.pending: list[tuple[int, np.ndarray]] = []
         self._restart()
@@ -111,6 +111,7 @@ class Model:
         self.coeff = transform(self.variances, c, self.n_pcs, self.p.score)
 
     def absorb(self, rows: list[tuple[int, np.ndarray]], seq: int) -> None:
+        self.version += 1
         if self.p.deferred:
             self.pending += rows
             self.last = seq
@@ -133,6 +134,7 @@ class Model:
 
     def refresh(self) -> None:
         if self.pending:
+            self.version += 1
             for r in self.pending:
                 self.memory.append(r)
             while len(self.memory) > self.p.model_mem:
@@ -154,7 +156,7 @@ class IncrementalModel:
     2008). Directions past the retained ones and one more are dropped; with p_var 1 nothing is."""
 
     def __init__(self, model_id: int, rows: list[tuple[int, np.ndarray]], seq: int, p: Params):
-        self.id, self.p, self.last = model_id, p, seq
+        self.id, self.p, self.last, self.version = model_id, p, seq, 0
         x = np.array([r for _, r in rows])
         self.count, self.centroid = len(x), x.mean(0)
         self.pending: list[tuple[int, np.ndarray]] = []
@@ -165,7 +167,7 @@ class IncrementalModel:
 
     def _cut(self) -> None:
         share = np.cumsum(self.s**2) / self.mass if self.mass > 0 else np.ones(len(self.s))
-        over = np.flatnonzero(share >= self.p.p_var - 1e-15) if self.p.p_var < 1 else []
+        over = np.flatnonzero(share > self.p.p_var) if self.p.p_var < 1 else []  # strictly more; all where none reaches it
         self.n_pcs = max(1, int(over[0]) + 1 if len(over) else len(self.s))
         keep = len(self.s) if self.p.p_var >= 1 else self.n_pcs + 1
         self.u, self.s = self.u[:, :keep], self.s[:keep]
@@ -192,7 +194,7 @@ class IncrementalModel:
         self.u, self.s = base @ a, s
 
     def absorb(self, rows: list[tuple[int, np.ndarray]], seq: int) -> None:
-        self.last = seq
+        self.last, self.version = seq, self.version + 1
         if self.p.deferred:
             self.pending += rows
             return
@@ -201,6 +203,7 @@ class IncrementalModel:
             self._cut()
 
     def refresh(self) -> None:
+        self.version += bool(self.pending)
         for _, x in self.pending:
             self._one(x)
             self._cut()
@@ -208,6 +211,7 @@ class IncrementalModel:
 
     def join(self, other: IncrementalModel) -> None:
         """Take over another model's rows: the two scatter matrices and the distance of the means add up."""
+        self.version += 1
         n, d = self.count + other.count, self.centroid - other.centroid
         gap = np.sqrt(self.count * other.count / n) * d
         u, s, _ = np.linalg.svd(np.column_stack([self.u * self.s, other.u * other.s, gap]), full_matrices=False)
@@ -223,12 +227,12 @@ class IncrementalModel:
         return []
 
 
-Label = tuple[int, int, float | None, bool]  # seq, context, score when scored, outlier
+Label = tuple[int, int | None, float | None, bool | None]  # seq, context, score when scored, outlier; nulls for a late row
 
 
 @dataclass
 class Kernel:
-    """init: Kernel(params). step: feed rows in order. close: end of the stream. Each returns the labels resolved by then."""
+    """init: Kernel(params). offer (or step): feed rows in order. close: end of the stream. Each returns the labels resolved by then."""
 
     params: Params
     models: dict[int, Model | IncrementalModel] = field(default_factory=dict)
@@ -275,6 +279,13 @@ class Kernel:
         self._labelled = self.current
         return [(s, self.current, None, False) for s, _ in rows]
 
+    def offer(self, seq: int, x: np.ndarray) -> list[Label]:
+        """step(), but a row that is late, one that doesn't come after the last, is put out with a null context and teaches
+        nothing. After close() every row is late."""
+        if self.closed or self.last_seq is not None and seq <= self.last_seq:
+            return [(seq, None, None, None)]
+        return self.step(seq, x)
+
     def step(self, seq: int, x: np.ndarray) -> list[Label]:
         if self.last_seq is not None and seq <= self.last_seq:
             raise ValueError(f"seq {seq} does not come after {self.last_seq}")
@@ -344,7 +355,9 @@ class Kernel:
         near.refresh()
         if stale.rows():
             rows = alternate(near.rows(), stale.rows(), len(near.rows()) + len(stale.rows()))[: self.params.model_mem]
-            self.models[near.id] = Model(near.id, sorted(rows, key=lambda r: r[0]), near.last, self.params)
+            merged = Model(near.id, sorted(rows, key=lambda r: r[0]), near.last, self.params)
+            merged.version = near.version + 1
+            self.models[near.id] = merged
         else:
             near.join(stale)
         del self.models[stale.id]

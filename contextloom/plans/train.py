@@ -1,18 +1,22 @@
 """Training: the sequential kernel on each key of a partitioned, sorted stream.
 
-Rows of a key depend on each other in order, so a key is one task's work by meaning; keys, parameter sets and feature groups
-run in parallel. A task streams its sorted rows through one kernel at a time and never holds a key's rows: what it
-holds is the models. Only key, seq and features reach Python.
+Rows of a key depend on each other in order, so a key is one task's work by meaning; keys run in parallel, and so do parameter
+sets and feature groups where keys are few. Where keys are many, a stream crosses the shuffle once and one task feeds all its
+variants in a single pass. A task streams its sorted rows and never holds a key's rows: what it holds is the models. Only
+key, seq and features reach Python.
+
+Rows of a key with equal seq go by their features: the least one counts, the others are late. A late row is put out with a
+null context, score and is_outlier, and teaches nothing; every host has this rule.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.plans.kernel import IncrementalModel, Kernel, Model, Params
@@ -43,68 +47,94 @@ def features_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
 
 
-def run_kernels(batches: Iterator[pa.RecordBatch], keys: int, params: dict | Params, out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """batches: `keys` key columns, seq, features; sorted by key and seq. params: for all keys, or by the first key column."""
-    kernel, now = None, None
-    rows: list[dict] = []
+@dataclass(frozen=True)
+class Variant:
+    """One training of a stream: its number, parameters, and the places of its features (None: all)."""
+
+    id: int
+    params: Params
+    index: tuple[int, ...] | None = None
+
 
-    def label(key: tuple, labels: list) -> None:
-        rows.extend({"key": key, "label": {"seq": s, "context_id": c, "score": v, "is_outlier": o}} for s, c, v, o in labels)
+def run_kernels(batches: Iterator[pa.RecordBatch], variants: dict[int, Variant], spread: bool, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """batches: stream_key, seq, features, sorted by key, seq and features; spread: a column variant comes first, and rows are
+    sorted by it first. Gives variant, stream_key, label, model, transition."""
+    kernels: list[tuple[Variant, Kernel, np.ndarray | None]] = []
+    now: object = run_kernels  # no key equals it
+    rows: list[tuple] = []
+
+    def start(which: Iterable[Variant]) -> None:
+        kernels[:] = [(v, Kernel(v.params), None if v.index is None else np.array(v.index)) for v in which]
 
     def end() -> None:
-        label(now, kernel.close())
-        rows.extend({"key": now, "model": model_row(m)} for m in kernel.models.values())
-        rows.extend({"key": now, "transition": {"from_id": i, "to_id": j, "n": n}} for (i, j), n in sorted(kernel.transitions.items()) if n)
+        for v, k, _ in kernels:
+            rows.extend((v.id, now, x, None, None) for x in k.close())
+            rows.extend((v.id, now, None, model_row(m), None) for m in k.models.values())
+            rows.extend((v.id, now, None, None, e) for e in sorted((*e, n) for e, n in k.transitions.items() if n))
+        kernels.clear()
 
     def flush() -> pa.RecordBatch:
-        cols = [pa.array([r["key"][k] for r in rows], out.field(k).type) for k in range(keys)]
-        cols += [pa.array([r.get(n) for r in rows], out.field(n).type) for n in ("label", "model", "transition")]
+        ids, keys, labels, models, moves = zip(*rows, strict=True)
+        named = lambda names, xs: [None if x is None else dict(zip(names, x, strict=True)) for x in xs]
+        cols = [ids, keys, named(("seq", "context_id", "score", "is_outlier"), labels), models, named(("from_id", "to_id", "n"), moves)]
         rows.clear()
-        return pa.RecordBatch.from_arrays(cols, schema=out)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
+    first = int(spread)
     for batch in batches:
         # Keys of one batch may differ in their number of features.
-        flat, off = batch.column(keys + 1).flatten().to_numpy(zero_copy_only=False), batch.column(keys + 1).offsets.to_numpy()
-        off, seq = off - off[0], batch.column(keys).to_pylist()
-        key = list(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True))
+        column = batch.column(first + 2)
+        flat, off = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        off, seq, key = off - off[0], batch.column(first + 1).to_pylist(), batch.column(first).to_pylist()
+        which = batch.column(0).to_pylist() if spread else [None] * batch.num_rows
         for i in range(batch.num_rows):
-            if key[i] != now:
-                if kernel is not None:
-                    end()
+            if not kernels or key[i] != now or which[i] is not None and which[i] != kernels[0][0].id:
+                end()
                 now = key[i]
-                kernel = Kernel(params if isinstance(params, Params) else params[now[0]])
-            label(now, kernel.step(seq[i], flat[off[i] : off[i + 1]]))
+                start(variants.values() if which[i] is None else [variants[which[i]]])
+            x = flat[off[i] : off[i + 1]]
+            for v, kernel, index in kernels:
+                for label in kernel.offer(seq[i], x if index is None else x[index]):
+                    rows.append((v.id, now, label, None, None))
             if len(rows) >= 5000:
                 yield flush()
-    if kernel is not None:
-        end()
+    end()
     if rows:
         yield flush()
 
 
-def _host(obs: DataFrame, keys: list[str], params: dict | Params) -> Trained:
+def _host(obs: DataFrame, variants: list[Variant], name: str | None) -> Trained:
+    """name: the column for a variant's number, None to leave it out."""
     spark = ship(obs.sparkSession)
-    n = len(keys)
-    ddl = ", ".join(f"`{k}` {obs.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{ddl}, label struct<{LABELS.replace(' ', ':').replace(',:', ',')}>, model {MODEL}, transition {TRANSITION}"
+    kind = obs.schema["stream_key"].dataType.simpleString()
+    schema = f"variant int, stream_key {kind}, label struct<{LABELS.replace(' ', ':').replace(',:', ',')}>, model {MODEL}, transition {TRANSITION}"
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shape = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    rows = obs.select(*keys, "seq", "features").repartition(*keys).sortWithinPartitions(*keys, "seq")
-    done = cut(rows.mapInArrow(lambda it: run_kernels(it, n, params, shape), schema))
-    part = lambda c: done.where(F.col(c).isNotNull()).select(*keys, f"{c}.*")
+    rows = obs.select("stream_key", "seq", "features")
+    cores = spark.sparkContext.defaultParallelism
+    # Fewer streams than cores: the variants of a stream are dealt to tasks of their own.
+    spread = len(variants) > 1 and rows.select("stream_key").distinct().limit(cores).count() < cores
+    keys = ["stream_key"]
+    if spread:
+        keys = ["variant", "stream_key"]
+        rows = rows.select(F.explode(F.array(*(F.lit(v.id) for v in variants))).alias("variant"), "*")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "seq", "features")
+    table = {v.id: v for v in variants}
+    done = cut(rows.mapInArrow(lambda it: run_kernels(it, table, spread, shape), schema))
+    shown = ["stream_key"] if name is None else [F.col("variant").alias(name), "stream_key"]
+    part = lambda c: done.where(F.col(c).isNotNull()).select(*shown, f"{c}.*")
     return Trained(part("label"), part("model"), part("transition"))
 
 
 def train(obs: DataFrame, params: Params) -> Trained:
     """One model collection for each stream_key."""
-    return _host(obs, ["stream_key"], params)
+    return _host(obs, [Variant(0, params)], None)
 
 
 def sweep(obs: DataFrame, params: list[Params]) -> Trained:
     """Every parameter set (param_id: its place in the list) over every stream, from one scan."""
-    ids = obs.sparkSession.createDataFrame([(i,) for i in range(len(params))], "param_id int")
-    return _host(obs.crossJoin(F.broadcast(ids)), ["param_id", "stream_key"], dict(enumerate(params)))
+    return _host(obs, [Variant(i, p) for i, p in enumerate(params)], "param_id")
 
 
 def feature_groups(obs: DataFrame, groups: list[list[int]]) -> DataFrame:
@@ -115,12 +145,12 @@ def feature_groups(obs: DataFrame, groups: list[list[int]]) -> DataFrame:
 
 
 def decompose(obs: DataFrame, groups: list[list[int]], params: Params) -> Trained:
-    """A model collection for each feature group of each stream."""
-    return _host(feature_groups(obs, groups), ["group_id", "stream_key"], params)
+    """A model collection for each feature group (group_id: its place in the list) of each stream, from one scan."""
+    return _host(obs, [Variant(i, params, tuple(g)) for i, g in enumerate(groups)], "group_id")
 
 
 def register_udtf(spark, params: Params, name: str = "train_contexts") -> None:
-    """SQL: SELECT * FROM name(TABLE(t) PARTITION BY key ORDER BY seq), t with columns seq and features."""
+    """SQL: SELECT * FROM name(TABLE(t) PARTITION BY key ORDER BY seq, features), t with columns seq and features."""
     ship(spark)
 
     class TrainContexts:
@@ -128,17 +158,9 @@ def register_udtf(spark, params: Params, name: str = "train_contexts") -> None:
             self.kernel = Kernel(params)
 
         def eval(self, row):
-            yield from self.kernel.step(row["seq"], np.array(row["features"], float))
+            yield from self.kernel.offer(row["seq"], np.array(row["features"], float))
 
         def terminate(self):
             yield from self.kernel.close()
 
     spark.udtf.register(name, F.udtf(TrainContexts, returnType=LABELS))
-
-
-def retained(labels: DataFrame, mem: int, order: Column | str = "seq") -> DataFrame:
-    """The last `mem` rows of each context."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("stream_key", "context_id").orderBy(F.col(order).desc() if isinstance(order, str) else order)
-    return labels.withColumn("age", F.row_number().over(w)).where(F.col("age") <= mem).drop("age")

@@ -409,13 +409,13 @@ def decompose_lineitem(spark, d):
 def online_offline_events(spark, d):
     import uuid
 
-    from contextloom.runtime import shared_dir
+    from contextloom.runtime import scratch
     from contextloom.streaming.online import OnlineTrainer, replay
 
     obs = _obs(spark, d)
     last = obs.agg(F.max("seq")).first()[0]
     size = 1 + last // 4
-    out = replay(OnlineTrainer(BASE, f"{shared_dir(spark)}/online-{uuid.uuid4().hex}"), obs, 4, size)
+    out = replay(OnlineTrainer(BASE, f"{scratch(spark)}/online-{uuid.uuid4().hex}"), obs, 4, size)
     return out.select("stream_key", "seq", "context_id", r6("score").alias("score"), "is_outlier")
 
 

@@ -31,17 +31,44 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs and tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one under a local
+    master (tests), an error under any other: executors could not see it."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = getattr(spark.sparkContext, "_contextloom_dir", None) or tempfile.mkdtemp(prefix="contextloom-shared-")
-        spark.sparkContext._contextloom_dir = found
-    return found
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = getattr(sc, "_contextloom_dir", None) or tempfile.mkdtemp(prefix="contextloom-shared-")
+        sc._contextloom_dir = found
+    return found.rstrip("/")
+
+
+def _filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables in the shared folder. It is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/contextloom-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_contextloom_scratch", None) != path:
+        fs, p = _filesystem(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        spark.sparkContext._contextloom_scratch = path
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far. Frames that were not written yet can't be read afterwards."""
+    fs, p = _filesystem(spark, scratch(spark))
+    fs.delete(p, True)
+    fs.mkdirs(p)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs nothing already written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

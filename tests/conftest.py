@@ -4,10 +4,10 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parent.parent)]
 os.environ.setdefault("TZ", "UTC")
 
-DATA = "/root/testdata/sf0.001"
+from util import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -2,9 +2,9 @@
 
 import pytest
 
-from conftest import DATA
+from util import DATA, same
+
 from contextloom import queries
-from util import same
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

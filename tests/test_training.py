@@ -15,7 +15,7 @@ from contextloom.runtime import ship
 from contextloom.schema import observations, rejected
 from contextloom.sources import files, synth
 from contextloom.streaming.online import OnlineTrainer, replay
-from contextloom.streaming.stateful import label_stream
+from contextloom.streaming.stateful import collective_stream, label_stream
 
 P = Params(drift_threshold=1.2, drift_size=8, model_mem=40)
 
@@ -167,7 +167,7 @@ def test_online_training_is_deterministic_and_learns_between_batches(spark, obs,
         if r.seq and r.seq % 50 == 0:
             k.refresh()
         out += k.step(r.seq, np.array(r.features))
-    assert labels == [(s, c) for s, c, *_ in sorted(out)]
+    assert labels == [(s, c) for s, c, *_ in sorted(out + k.close())]
 
 
 def test_online_training_by_foreach_batch_equals_replay(spark, obs, tmp_path):
@@ -178,4 +178,131 @@ def test_online_training_by_foreach_batch_equals_replay(spark, obs, tmp_path):
         obs.where((F.col("seq") >= v * 50) & (F.col("seq") < (v + 1) * 50)).select("stream_key", "seq", "features").coalesce(1).write.parquet(str(tmp_path / "in" / str(v)))
         src = spark.readStream.schema("stream_key long, seq long, features array<double>").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
         src.writeStream.foreachBatch(b.process).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    b.finish(spark, 4)
     assert found(b.labels(spark)) == want
+    with pytest.raises(RuntimeError, match="snapshot 7 is missing"):
+        b.process(obs, 8)
+
+
+HOSTS = replace(P, drift_size=5)
+
+
+def test_tied_rows_are_late_in_every_host(spark, tmp_path):
+    """Rows with a seq that was there before: the one of the least features counts, the others come out with nulls."""
+    r = np.random.default_rng(3)
+    rows = [(1, i, (r.normal(0, 1, 2) + 6 * (i // 30 % 2)).tolist()) for i in range(90)]
+    twice = [(1, 40, [99.0, 0.0]), (1, 40, [99.0, 1.0]), (1, 0, [99.0, 0.0])]
+    df = spark.createDataFrame([*rows, *twice], "stream_key long, seq long, features array<double>").repartition(3)
+    k, want = Kernel(HOSTS), []
+    for _, s, x in rows:
+        want += k.offer(s, np.array(x))
+    want = sorted((s, c) for s, c, *_ in want + k.close())
+    ship(spark)
+    batch = train(df, HOSTS).labels
+    swept = sweep(df, [P, HOSTS]).labels.where("param_id = 1").drop("param_id")
+    online = replay(OnlineTrainer(HOSTS, str(tmp_path / "o")), df, 1, 100)
+    register_udtf(spark, HOSTS, "ties_test")
+    df.createOrReplaceTempView("ties")
+    udtf = spark.sql("SELECT 1L AS stream_key, * FROM ties_test(TABLE(ties) PARTITION BY stream_key ORDER BY (seq, features))")
+    df.select("*", F.lit(False).alias("close")).union(spark.createDataFrame([(1, 89, None, True)], "stream_key long, seq long, features array<double>, close boolean")).coalesce(1).write.parquet(str(tmp_path / "in" / "0"))
+    src = spark.readStream.schema("stream_key long, seq long, features array<double>, close boolean").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    label_stream(src, HOSTS).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    stream = spark.read.parquet(str(tmp_path / "out"))
+    for got in (batch, swept, online, udtf, stream):
+        got = got.collect()
+        assert sorted(x.seq for x in got if x.context_id is None) == [0, 40, 40] and len(got) == 93
+        if got and "late" in got[0]:
+            assert all(x.late == (x.context_id is None) for x in got)
+    for got in (batch, swept, udtf, stream):
+        assert sorted((x.seq, x.context_id) for x in got.collect() if x.context_id is not None) == want
+
+
+@pytest.mark.parametrize("change", [{"model_backend": "incremental"}, {}])
+def test_streaming_with_merging_equals_batch(spark, tmp_path, change):
+    p = replace(P, model_limit=2, drift_size=6, **change)
+    obs = synth.stream(spark, [40, 30, 40, 30, 40, 30, 40], n_features=3, n_concepts=4, offset_scale=9.0, seed=2).cache()
+    want = train(obs, p)
+    ship(spark)
+    (tmp_path / "in").mkdir()
+    for i, (a, b) in enumerate([(0, 90), (90, 91), (91, 160), (160, 999)]):
+        rows = obs.where((F.col("seq") >= a) & (F.col("seq") < b)).select("stream_key", "seq", "features", F.lit(False).alias("close"))
+        if b == 999:
+            rows = rows.union(spark.createDataFrame([(0, 999, None, True)], "stream_key long, seq long, features array<double>, close boolean"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        src = spark.readStream.schema("stream_key long, seq long, features array<double>, close boolean").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        label_stream(src, p).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    assert want.labels.agg(F.max("context_id")).first()[0] > 2
+    assert found(spark.read.parquet(str(tmp_path / "out"))) == found(want.labels)
+
+
+def test_auc_is_the_same_however_the_plan_runs(spark):
+    df = spark.range(5000).select((F.round(F.rand(5) * 300) / 7).alias("s"), (F.rand(6) < 0.4).cast("int").alias("y")).cache()
+    rows = df.collect()
+    pos, neg = [r.s for r in rows if r.y], [r.s for r in rows if not r.y]
+    raw = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.shuffle.partitions")}
+    try:
+        for reuse in ("true", "false"):
+            for parts in ("1", "4", "64"):
+                spark.conf.set("spark.sql.exchange.reuse", reuse)
+                spark.conf.set("spark.sql.shuffle.partitions", parts)
+                for rows_a_range in (1_000_000, 37):
+                    assert metrics.auc(df, "s", "y", rows_a_range).first()[0] == pytest.approx(max(raw, 1 - raw), abs=1e-12)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_models_in_blocks_score_as_at_once(spark, obs):
+    m = train(obs.where("stream_key = 0"), replace(P, drift_threshold=0.7)).models
+    rows = obs.where("stream_key = 0").drop("truth")
+    a, b = (sorted(map(str, scoring.predict(rows, m, all_scores=True, most=n).collect())) for n in (10**6, 13))
+    assert m.count() > 3 and a == b
+    assert scoring.predict(rows, m.where("false")).where("context_id is null").count() == rows.count()
+    flat = rows.select("seq", *(F.col("features")[i].alias(f"f{i}") for i in range(3)), (F.col("seq") % 5).alias("g"))
+    own = models.mean_cov(flat, "g", ["f0", "f1", "f2"]).withColumnRenamed("g", "model_id")
+    x, y = (sorted(map(str, scoring.score_all(flat, own, ["f0", "f1", "f2"], ["seq"], block=n).collect())) for n in (100, 2))
+    assert x == y and len(x) == 5 * rows.count()
+
+
+def test_scores_by_key_and_by_sql_function(spark, obs):
+    t = train(obs, P)
+    got = {(r.stream_key, r.seq): (r.context_id, r.score) for r in scoring.score_keyed(obs, t.models).collect()}
+    one = scoring.predict(obs.where("stream_key = 1"), t.models.where("stream_key = 1")).collect()
+    assert all(got[1, r.seq][0] == r.context_id and got[1, r.seq][1] == pytest.approx(r.score) for r in one) and len(got) == obs.count()
+    scoring.register_udf(spark, t.models.where("stream_key = 1"), "score_test")
+    obs.where("stream_key = 1").createOrReplaceTempView("obs_udf")
+    by_sql = {r.seq: (r.b.context_id, r.b.score) for r in spark.sql("SELECT seq, score_test(features) AS b FROM obs_udf").collect()}
+    assert by_sql == {r.seq: (r.context_id, r.score) for r in one}
+
+
+def test_collective_detector_on_a_stream_equals_batch(spark, tmp_path):
+    r = np.random.default_rng(1)
+    lab = spark.createDataFrame([(k, i, int(r.integers(1, 4))) for k in range(3) for i in range(40)], "stream_key long, seq long, context_id int").cache()
+    chain = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.25), (3, 3, 1.0)], "from_id int, to_id int, p double")
+    (tmp_path / "in").mkdir()
+    for w in (4, 1):
+        for i, (a, b) in enumerate([(0, 3), (3, 17), (17, 40)]):
+            lab.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/in{w}/{i}")
+            src = spark.readStream.schema("stream_key long, seq long, context_id int").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in{w}")
+            collective_stream(src, chain, w).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck{w}").option("path", f"{tmp_path}/out{w}").trigger(availableNow=True).start().awaitTermination()
+        got = {(x.stream_key, x.seq): x.anomaly for x in spark.read.parquet(f"{tmp_path}/out{w}").collect()}
+        want = {(x.stream_key, x.seq): x.anomaly for x in scoring.collective_anomaly(lab, chain, w, ["stream_key"]).collect()}
+        assert got == pytest.approx(want) and len(got) == 120
+
+
+def test_find_rank_is_strict(spark):
+    df = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("a", 1.0), ("b", 5.0)], "g string, v double")
+    run = lambda s: {r.g: r["rank"] for r in models.find_rank(df, "g", "v", s).collect()}
+    assert run(0.5) == {"a": 2, "b": 1} and run(0.49) == {"a": 1, "b": 1} and run(1.0) == {"a": 3, "b": 1}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from contextloom import runtime
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(type("S", (), {"sparkContext": Context()})())
