@@ -1,10 +1,12 @@
 """Benchmark decontamination with suffix arrays over shards of the training documents.
 
-Each task cuts its documents into shards of a few MB, sorts the shard's suffixes (word sequences, as far as the
-longest test item reaches) and binary-searches every test suffix in that array. The neighbours of the place found give
-the longest verbatim match of the suffix and where it lies; the interval of suffixes that begin with a whole window
-gives every occurrence of the window. A suffix can only begin an occurrence if its first three words (fewer for very
-short items) begin some window, so the other suffixes are left out of the array: a filter without loss.
+Each task cuts its documents into shards of a few MB and sorts the shard's suffixes (word sequences, each to the end of its
+text or to the first word that no test item has). Every test suffix is binary-searched in that array; the two neighbours
+of the place found hold its longest verbatim match, at whatever length, and say where it lies. What the operators give
+follows from these matches: a window occurs if the longest match of a test suffix that it begins covers it, and its
+occurrences are the interval of the array around the place found. A suffix can only begin an occurrence if its first three
+words (fewer for very short items) begin some window, so the other suffixes are left out of the array, and test suffixes
+whose first three words begin none of the shard's are not searched in it: filters without loss from three words on.
 
 The documents are read once and not shuffled. The test items are sent out in groups of at most `block_words` words, one
 pass over the rows for each group, so what a task holds is bounded whatever the size of the benchmark.
@@ -27,10 +29,10 @@ from contextloom.llm import textkernel as K
 from contextloom.runtime import ship
 
 WINDOW = 10
-#: Words of test items in one pass, bytes of text in one shard, words of a suffix that the array's order looks at.
+#: Words of test items in one pass, bytes of text in one shard, bytes of the keys that a step of sorting holds.
 BLOCK_WORDS = 1_000_000
 SHARD_BYTES = 2 << 20
-DEPTH = 64
+SORT_BYTES = 32 << 20
 _LEAD = 3
 _HITS, _ITEMS, _WORDS = "__ctx_hits", "__ctx_items", "__ctx_words"
 
@@ -49,13 +51,12 @@ class Items:
         self.stop = w.ptr[1:][w.doc] if len(w.doc) else np.zeros(0, np.int64)
         first = w.ptr[:-1][w.doc] if len(w.doc) else np.zeros(0, np.int64)
         at_ = np.arange(len(self.rank))
-        self.depth = max(window, min(DEPTH, int((self.stop - first).max(initial=1))))
-        self.suffix = keys(self.rank, at_, self.stop, self.depth)
         self.row, self.pos = w.doc, at_ - first
         starts = np.flatnonzero((at_ + window <= self.stop) | (at_ == first))
         length = np.minimum(self.stop[starts] - starts, window)
         flat = keys(self.rank, starts, starts + length, window)
-        self.win, inv = np.unique(flat, return_inverse=True)
+        self.win, first_of, inv = np.unique(flat, return_index=True, return_inverse=True)
+        self.win_at = starts[first_of]  # a test suffix that begins with the window
         self.win_len = np.zeros(len(self.win), np.int64)
         self.win_len[inv] = length
         pairs = np.unique(np.stack([inv, self.item[starts]], 1), axis=0) if len(starts) else np.zeros((0, 2), np.int64)
@@ -63,7 +64,11 @@ class Items:
         self.win_ptr, self.win_item = np.searchsorted(pairs[:, 0], np.arange(len(self.win) + 1)), pairs[:, 1]
         lead = np.minimum(length, _LEAD)
         self.leads = {k: np.unique(grams(self.rank, starts[lead == k], k)) for k in range(1, _LEAD + 1) if (lead == k).any()}
-        self.lo, self.hi = padded(self.win, self.win_len, window, self.depth)
+        self.lo, self.hi = padded(self.win, self.win_len, window)
+        rest = self.stop - at_
+        self.tails = np.flatnonzero(rest < _LEAD)
+        self.long = np.flatnonzero(rest >= _LEAD)
+        self.gram = grams(self.rank, self.long, _LEAD)
 
 
 def keys(rank: np.ndarray, at: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
@@ -75,16 +80,35 @@ def keys(rank: np.ndarray, at: np.ndarray, stop: np.ndarray, depth: int) -> np.n
     return out.view(f"S{4 * depth}").ravel()
 
 
-def padded(win: np.ndarray, length: np.ndarray, window: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest and the largest key that begins with each window."""
+def padded(win: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest key of `window` words that begins with each window."""
     raw = np.zeros((len(win), 4 * window), np.uint8) if not len(win) else np.frombuffer(win.tobytes(), np.uint8).reshape(len(win), 4 * window)
-    out = []
-    for fill in (0, 255):
-        x = np.full((len(win), 4 * depth), fill, np.uint8)
-        inside = np.arange(4 * window)[None, :] < 4 * length[:, None]
-        x[:, : 4 * window] = np.where(inside, raw, fill)
-        out.append(x.view(f"S{4 * depth}").ravel())
-    return out[0], out[1]
+    inside = np.arange(4 * window)[None, :] < 4 * length[:, None]
+    return tuple(np.where(inside, raw, np.uint8(fill)).view(f"S{4 * window}").ravel() for fill in (0, 255))
+
+
+def suffix_order(rank: np.ndarray, at: np.ndarray, stop: np.ndarray, width: int = 16, room: int = SORT_BYTES) -> np.ndarray:
+    """The order of the suffixes that begin at `at` and end before `stop`, by all their words; equal ones by place.
+
+    Sorted by their first words, then those that agree by the next, and so on until all differ or have ended; steps grow
+    as long as their keys fit in `room` bytes."""
+    order, group = np.arange(len(at)), np.zeros(len(at), np.int64)  # group: the first slot of those that agree so far
+    slots, depth = np.arange(len(at)), 0
+    while len(slots):
+        width = max(1, min(width, room // (4 * len(slots))))
+        who = order[slots]
+        _, key = np.unique(keys(rank, at[who] + depth, stop[who], width), return_inverse=True)
+        by = np.lexsort((key, group[slots]))
+        order[slots], key = who[by], key[by]
+        new = np.ones(len(slots), bool)
+        new[1:] = (group[slots][1:] != group[slots][:-1]) | (key[1:] != key[:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(slots)))
+        group[slots] = np.repeat(slots[new], size)
+        depth += width
+        who = order[slots]
+        slots = slots[(np.repeat(size, size) > 1) & (at[who] + depth <= stop[who])]
+        width *= 2
+    return order
 
 
 def grams(rank: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -111,48 +135,62 @@ class Shard:
             p = np.minimum(np.searchsorted(items.vocab, w.hash), len(items.vocab) - 1)
             rank[:n] = np.where(items.vocab[p] == w.hash, p + 1, 0)
         self.rank, stop = rank, w.ptr[1:][w.doc]
-        keep = np.zeros(n, bool)
+        strange = np.append(np.flatnonzero(rank[:n] == 0), n)
+        stop = np.minimum(stop, strange[np.searchsorted(strange, np.arange(n))])  # of each suffix
+        keep, found = np.zeros(n, bool), np.zeros(0, np.uint64)
         for k, of in items.leads.items():
-            at = np.flatnonzero((rank[:n] != 0) & (np.arange(n) + k <= stop))
-            for j in range(1, k):
-                at = at[rank[at + j] != 0]
-            keep[at[isin_sorted(grams(rank, at, k), of)]] = True
+            at = np.flatnonzero(np.arange(n) + k <= stop)
+            g = grams(rank, at, k)
+            ok = isin_sorted(g, of)
+            keep[at[ok]] = True
+            found = np.unique(g[ok]) if k == _LEAD else found
+        self.leads = found
         at = np.flatnonzero(keep)
-        self.key = keys(rank, at, stop[at], items.depth)
-        order = np.argsort(self.key, kind="stable")
-        self.key, self.at = self.key[order], at[order]
-
-    def occurrences(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
-        """(place, window) of every occurrence of every window."""
-        lo, hi = np.searchsorted(self.key, items.lo, "left"), np.searchsorted(self.key, items.hi, "right")
-        n = hi - lo
-        win = np.repeat(np.arange(len(n)), n)
-        k = np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        return self.at[k], win
+        self.at = at[suffix_order(rank, at, stop[at])]
+        self.stop = stop[self.at]
 
     def longest(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
-        """For every test suffix the length of its longest match here, and a place of it (-1 if none)."""
-        t, m = len(items.suffix), len(self.key)
+        """For every test suffix the length of its longest match here, and a place of it (-1 if none): found by binary search
+        of the suffix in the array. Matches of fewer than three words may be missed."""
+        t, m = len(items.rank), len(self.at)
         best, place = np.zeros(t, np.int64), np.full(t, -1, np.int64)
         if not m or not t:
             return best, place
-        p = np.searchsorted(self.key, items.suffix, "left")
-        for near in (p - 1, p):
-            ok = np.flatnonzero((near >= 0) & (near < m))
-            a, b = self.at[near[ok]], ok.copy()
-            length, live = np.zeros(len(ok), np.int64), np.ones(len(ok), bool)
-            stop = self.words.ptr[1:][self.words.doc[a]]
-            while live.any():
-                i = np.flatnonzero(live)
-                x, y = a[i] + length[i], b[i] + length[i]
-                same = (x < stop[i]) & (y < items.stop[b[i]])
-                same[same] = self.rank[x[same]] == items.rank[y[same]]
-                length[i[same]] += 1
-                live[i[~same]] = False
-            better = length > best[ok]
-            best[ok[better]], place[ok[better]] = length[better], a[better]
+        who = np.concatenate([items.tails, items.long[isin_sorted(items.gram, self.leads)] if len(self.leads) else items.long])
+        lo, hi = np.zeros(len(who), np.int64), np.full(len(who), m)
+        left, right = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)  # words shared with the neighbours
+        while len(act := np.flatnonzero(lo < hi)):
+            mid = (lo[act] + hi[act]) // 2
+            k = np.minimum(left[act], right[act])
+            a, a_stop, b, b_stop = self.at[mid] + k, self.stop[mid], who[act] + k, items.stop[who[act]]
+            live = np.arange(len(act))
+            while len(live):
+                live = live[(a[live] < a_stop[live]) & (b[live] < b_stop[live])]
+                live = live[self.rank[a[live]] == items.rank[b[live]]]
+                a[live] += 1
+                b[live] += 1
+            k = b - who[act]
+            ends, more = b == b_stop, a < a_stop
+            less = ~ends & ~more
+            both = np.flatnonzero(~ends & more)
+            less[both] = self.rank[a[both]] < items.rank[b[both]]
+            lo[act[less]], left[act[less]] = mid[less] + 1, k[less]
+            hi[act[~less]], right[act[~less]] = mid[~less], k[~less]
+        best[who] = np.maximum(left, right)
+        near = np.where(left >= right, lo - 1, hi)
+        ok = best[who] > 0
+        place[who[ok]] = self.at[near[ok]]
         return best, place
 
+    def occurrences(self, items: Items, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, window) of every occurrence of the windows that the longest matches of test suffixes cover."""
+        win = np.flatnonzero(best[items.win_at] >= items.win_len)
+        key = keys(self.rank, self.at, self.stop, items.window) if len(win) else np.zeros(0, f"S{4 * items.window}")
+        lo, hi = np.searchsorted(key, items.lo[win], "left"), np.searchsorted(key, items.hi[win], "right")
+        n = hi - lo
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        return self.at[k], np.repeat(win, n)
+
 
 def _groups(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in groups whose size is checked: by the hash of the id where they are too many for one."""
@@ -179,7 +217,7 @@ def _pass(docs: DataFrame, text_col: str, items: Items) -> DataFrame:
                 shard = Shard(data, off, items)
                 w = shard.words
                 count[start:stop] = K.word_count(w)
-                at, win = shard.occurrences(items)
+                at, win = shard.occurrences(items, shard.longest(items)[0])
                 if not len(at):
                     continue
                 cover = np.zeros(len(w.hash) + 1, np.int64)
@@ -224,8 +262,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For every test suffix and shard the longest verbatim match of at least `least` words, one that no longer match of
-    the same shard holds: item_id (string), item_pos, doc_id, doc_pos, length; positions count words."""
+    """For every test suffix and shard the longest verbatim match of at least `least` words (three or more), one that no
+    longer match of the same shard holds: item_id (string), item_pos, doc_id, doc_pos, length; positions count words."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = None

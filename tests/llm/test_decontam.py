@@ -73,6 +73,52 @@ def test_longest_matches():
     assert n.max() >= 60 and (at[n > 0] >= 0).all()
 
 
+@pytest.mark.parametrize("room", [D.SORT_BYTES, 512])
+def test_suffixes_are_sorted_by_all_their_words(room):
+    r = np.random.default_rng(6)
+    rank = np.concatenate([r.integers(1, 3, 300), np.tile([1, 2], 150), np.ones(200)]).astype(np.uint32)
+    stop = np.repeat([300, 450, 600, 800], [300, 150, 150, 200])
+    at = np.sort(r.choice(800, 700, replace=False))
+    got = at[D.suffix_order(rank, at, stop[at], width=2, room=room)]
+    assert got.tolist() == sorted(at.tolist(), key=lambda i: (rank[i : stop[i]].tolist(), i))
+
+
+def longest_run(a, b):
+    """Words of the longest run that two lists share."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *(row[j] + 1 if x == y else 0 for j, y in enumerate(b))]
+        best = max(best, *row)
+    return best
+
+
+def test_longest_matches_of_64_to_500_words(spark):
+    """Documents that share 64 to 500 words with one item, in any order, with the same beginnings."""
+    r = random.Random(9)
+    item = [r.choice(["a", "b", "c", "d", "e", "f"]) + str(r.randrange(40)) for _ in range(520)]
+    cuts = [(3, 73), (3, 103), (3, 113), (3, 153), (3, 131), (10, 510), (200, 264), (0, 520), (450, 520)]
+    docs = [" ".join(["x", *item[a:b], f"y{i}", *item[5:9]]) for i, (a, b) in enumerate(cuts)] + ["x y z"]
+    other = " ".join(["q", *item[100:300], "q", *item[50:90]])
+    for order in (docs, docs[::-1]):
+        items = D.Items([("i", " ".join(item)), ("o", other)])
+        shard = D.Shard(*K.utf8(pa.array(order)), items)
+        n, at = shard.longest(items)
+        flat = [word_list(d) for d in order]
+        text = np.array([w for d in flat for w in d])
+        for i, (row, p) in enumerate(zip(items.row, items.pos, strict=True)):
+            w = word_list([" ".join(item), other][row])[p:]
+            best = max((next((m for m, (x, y) in enumerate(zip(w, d[q:])) if x != y), min(len(w), len(d) - q)) for d in flat for q in range(len(d)) if d[q] == w[0]), default=0)
+            if best >= 3 and len(w) >= 10:
+                assert n[i] == best
+                assert text[at[i] : at[i] + best].tolist() == w[:best]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = D.matches(df, b).collect()
+    assert max(x.length for x in got) == 520
+    for x in D.report(df, b).collect():
+        assert x.n_hit == hits(docs[x.doc_id], [(1, " ".join(item))])[1] and (longest_run(word_list(docs[x.doc_id]), item) >= 10) == x.contaminated
+
+
 def test_matches_reports_places(spark):
     text = "x y " + " ".join(f"w{i}" for i in range(40)) + " end"
     df = spark.createDataFrame([(5, text), (6, "nothing here")], "doc_id long, text string")
