@@ -4,17 +4,23 @@
    set form a class, whose representative is its smallest doc_id) and band hashes of its MinHash values.
 2. Representatives that share a band are candidates. Each band bucket becomes a star around its smallest member, and
    connected components of the stars bring candidates together: never all pairs of a bucket.
-3. Each component, or each pair of blocks of a large one, goes to one task. There MinHash values are compared `step` at a
-   time; a pair whose posterior chance of reaching the threshold falls below `tolerance` is dropped, the others are
-   verified exactly on the shingle sets. The task returns per representative its number of links and one edge of a
-   spanning forest, so its output is linear in its input, whatever the size of a group.
-4. Components of the verified edges are the groups of near copies.
+3. A component goes to one task. There MinHash values are compared `step` at a time; a pair whose posterior chance of
+   reaching the threshold falls below `tolerance` is dropped, the others are verified exactly on the shingle sets. The task
+   returns per representative its number of links and one edge of a spanning forest, so its output is linear in its input.
+4. A component of more than a block's rows or bytes may be a chain of unlike texts. Its members are banded again, by longer
+   bands, which unlike texts hardly ever share, and the components of these take its place.
+5. What is still larger is a dense group. Each member is compared with the group's least id. Members whose distance from it
+   is at most half of the distance that a link allows are all linked with each other, by the triangle inequality of the
+   Jaccard distance: this core is counted, not compared. Only pairs with a member outside the core are compared, in cells
+   of two blocks. Work and traffic grow linearly with the core, and with the square only of the members outside it.
+6. Components of the verified edges are the groups of near copies.
 
 The bands are chosen so that a pair at the threshold is missed with a chance of at most `miss`.
 
 A class of a third of all rows is one row after step 1 (min and count, aggregated before the shuffle). The rows of such a
 class are given their representative by a broadcast of the classes that hold at least a thousandth of all rows: a thousand
-entries at most. A component with many different texts is dealt to blocks of bounded rows and bytes.
+entries at most. Large components get their sizes in the same way. Blocks of texts and partitions of cells are of bounded
+rows and bytes, counted before they are dealt.
 
 Defined results: texts of fewer than five words, but not none, have one shingle of all their words. Null counts as empty;
 texts without words are of one class only if their bytes are equal, and have no links. Rows without an id keep a null class. Rows
@@ -41,10 +47,13 @@ THRESHOLD = 0.8
 MISS = 1e-6
 TOLERANCE = 1e-7
 BAND_ROWS = 6
+#: MinHash values in a band of the second banding, for members of large components.
+LONG_BAND_ROWS = 12
 STEP = 32
-#: Rows and bytes of one block of a large component.
+#: Rows and bytes of one block of a large component; bytes of text in one partition of cells.
 BLOCK_ROWS = 512
 BLOCK_BYTES = 8 << 20
+CELL_BYTES = 64 << 20
 _U = np.uint64
 
 
@@ -61,8 +70,9 @@ def signature(unique: np.ndarray, n: int) -> np.ndarray:
     """n MinHash values (32 bits) of a set of 64-bit hashes."""
     a = _multipliers(n)
     best = np.full(n, np.iinfo(np.uint64).max, _U)
-    for i in range(0, len(unique), 1024):
-        np.minimum(best, np.multiply.outer(unique[i : i + 1024], a).min(0), out=best)
+    wide = max(64, 300_000 // n)
+    for i in range(0, len(unique), wide):
+        np.minimum(best, np.multiply.outer(unique[i : i + wide], a).min(0), out=best)
     return (K.mix(best) >> _U(32)).astype(np.uint32)
 
 
@@ -97,8 +107,9 @@ def class_keys(sets: list[np.ndarray], data: np.ndarray, off: np.ndarray) -> np.
     return key
 
 
-def _sketch(docs: DataFrame, id_col: str, text_col: str, n_bands: int) -> DataFrame:
-    n_hash = n_bands * BAND_ROWS
+def _sketch(docs: DataFrame, id_col: str, text_col: str, n_bands: int, rows: int = BAND_ROWS) -> DataFrame:
+    """id, c1, c2 (class key), bands (none for texts without words)."""
+    n_hash = n_bands * rows
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +120,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, n_bands: int) -> DataFr
                 key = class_keys(sets, data, off)
                 sig = np.stack([signature(s, n_hash) for s in sets])
                 full = np.array([len(s) > 0 for s in sets], bool)
-                band = K.mix((sig.reshape(-1, n_bands, BAND_ROWS).astype(_U) * lanes[:n_hash].reshape(n_bands, BAND_ROWS)).sum(2, dtype=_U) + lanes[n_hash:])
+                band = K.mix((sig.reshape(-1, n_bands, rows).astype(_U) * lanes[:n_hash].reshape(n_bands, rows)).sum(2, dtype=_U) + lanes[n_hash:])
                 ptr = np.concatenate([[0], np.cumsum(full * n_bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, stop - start), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ptr), pa.array(band[full].ravel().view(np.int64)))],
@@ -235,6 +246,75 @@ def _verify(members: DataFrame, threshold: float, tolerance: float, n_hash: int)
     return members.mapInArrow(run, "id long, n long, root long")
 
 
+def _stars(banded: DataFrame) -> DataFrame:
+    """banded: node, band. Edges (a, b) from the members of each band bucket to its least one."""
+    crowded = cut(banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("k")).where("least < most"))
+    pairs = crowded.where("k = 2").select(F.col("most").alias("a"), F.col("least").alias("b"))
+    rest = banded.join(crowded.where("k > 2").select("band", "least"), "band").where("node != least")
+    return pairs.unionByName(rest.select(F.col("node").alias("a"), F.col("least").alias("b")))
+
+
+def _blocks(texts: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
+    """comp, g: how many blocks of bounded rows and bytes the texts of a component fill."""
+    size = texts.groupBy("comp").agg(F.count("*").alias("k"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("k") / block_rows), F.ceil(F.col("bytes") / block_bytes), F.lit(1))
+    return cut(size.select("comp", blocks.cast("int").alias("g")))
+
+
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows joined with a table of large components (comp, g, ...). Those that hold at least a thousandth of all blocks, a
+    thousand at most, are joined by broadcast, so no task gets all rows of one of them."""
+    hot = F.greatest(F.lit((groups.agg(F.sum("g")).first()[0] or 0) / 1000), F.lit(2))
+    largest = F.broadcast(groups.where(F.col("g") >= hot))
+    return rows.join(largest, "comp").unionByName(rows.join(F.broadcast(groups.where(F.col("g") >= hot).select("comp")), "comp", "left_anti").join(groups.where(F.col("g") < hot), "comp"))
+
+
+def _core(members: DataFrame, threshold: float) -> DataFrame:
+    """members: comp, g, id, text of dense groups. id, near: whether the text's distance from that of the group's least id is
+    at most half of what a link allows. Members are dealt in blocks, each with a copy of the least one's text."""
+    part = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
+    rest = members.where("id != comp").select("comp", part.alias("part"), F.lit(1).alias("place"), "id", "text")
+    heads = members.where("id = comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("part"), F.lit(0).alias("place"), "id", "text")
+    least = (1 + threshold) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
+        for batch in batches:
+            place, ids, near = batch.column(2).to_numpy(), batch.column(3), np.zeros(batch.num_rows, bool)
+            for start, stop, data, off in K.blocks(batch.column(4)):
+                for i, s in enumerate(document_sets(data, off), start):
+                    if not place[i]:
+                        head, near[i] = s, True
+                    else:
+                        n = len(np.intersect1d(s, head, assume_unique=True))
+                        near[i] = n >= least * (len(s) + len(head) - n)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(near)], names=["id", "near"])
+
+    dealt = rest.unionByName(heads)
+    return dealt.repartition(_parts(dealt), "comp", "part").sortWithinPartitions("comp", "part", "place").mapInArrow(run, "id long, near boolean").distinct()
+
+
+def _parts(cells: DataFrame) -> int:
+    """Partitions for texts that are dealt: of bounded bytes, and no fewer than the session's."""
+    size = cells.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + size // CELL_BYTES)
+
+
+def _dense(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """members: comp, g, id, text. (cells, found): block pairs to compare, and the links (id, n, root) within the cores."""
+    near = cut(_core(members, threshold))
+    marked = cut(members.join(near, "id"))
+    # Blocks of the members outside the core come first, and there are h of them; a cell has one of them.
+    outside = F.avg((~F.col("near")).cast("int")) * F.first("g")
+    groups = cut(marked.groupBy("comp").agg(F.first("g").alias("g"), F.sum(F.col("near").cast("long")).alias("n"), F.ceil(outside).cast("int").alias("h")))
+    found = _with_group(marked.where("near").select("id", "comp"), groups).where("n > 1").select("id", (F.col("n") - 1).alias("n"), F.col("comp").alias("root"))
+    b = F.pmod(F.xxhash64("id"), F.when(F.col("near"), F.col("g")).otherwise(F.col("h"))).cast("int") + F.when(F.col("near"), F.col("h")).otherwise(0)
+    meets = F.when(F.col("near"), F.col("h") - 1).otherwise(F.col("h") + F.col("g") - 1)
+    dealt = _with_group(marked.drop("g"), groups.drop("n")).where("h > 0").withColumn("b", b).withColumn("x", F.explode(F.sequence(F.lit(0), meets)))
+    cells = dealt.select("comp", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), (F.col("b") > F.col("x")).cast("int").alias("side"), "id", "text")
+    return cells, found
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS, tolerance: float = TOLERANCE, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: id, class_id (smallest id with the same shingle set), class_size, n_links (classes whose
     similarity with its own reaches the threshold), group_id (smallest id connected through links), and the internal key
@@ -249,11 +329,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     node = F.xxhash64("c1", "c2") if shared else F.col("rep")
     classes = classes.withColumn("node", node)
     banded = classes.select("node", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("k")).where("least < most")
-    crowded = cut(crowded)
-    pairs = crowded.where("k = 2").select(F.col("most").alias("a"), F.col("least").alias("b"))
-    stars = banded.join(crowded.where("k > 2").select("band", "least"), "band").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    comp = components(pairs.unionByName(stars))
+    comp = components(_stars(banded))
     again = shared or sketch.groupBy("id").agg(F.count("*").alias("k")).where("k > 1 and id is not null").limit(1).count() > 0
     who = comp.join(classes.select("node", F.col("rep").alias("id"), "c1", "c2"), "node")
     if again:  # an id doesn't name a text: take the class key of each row too
@@ -261,18 +337,22 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     else:
         texts = docs.join(who.drop("c1", "c2"), "id")
     texts = cut(texts.select(F.col("node").alias("id"), F.col("root").alias("comp"), "text"))
-    size = texts.groupBy("comp").agg(F.count("*").alias("k"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("k") / block_rows), F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("int")
-    size = cut(size.select("comp", blocks.alias("g")))
-    large = size.where("g > 1")
-    few = texts.join(large.select("comp"), "comp", "left_anti").select("comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "text")
-    b = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
-    dealt = texts.join(large, "comp").withColumn("b", b).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("comp", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), (F.col("b") > F.col("x")).cast("int").alias("side"), "id", "text")
-    cells = few.unionByName(dealt)
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(n_parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    found = cut(_verify(cells.select("comp", "i", "j", "side", "id", "text"), threshold, tolerance, n_bands * BAND_ROWS))
+    single = lambda t: t.select("comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "text")
+    size = _blocks(texts, block_rows, block_bytes)
+    cells, sure = single(texts), None
+    if size.where("g > 1").limit(1).count():
+        sized = cut(_with_group(texts, size))
+        cells, large = single(sized.where("g = 1")), sized.where("g > 1").drop("comp", "g")
+        again = _sketch(large, "id", "text", bands_for(threshold, LONG_BAND_ROWS, miss), LONG_BAND_ROWS)
+        parts = components(_stars(cut(again.select(F.col("id").alias("node"), F.explode("bands").alias("band")))))
+        large = cut(large.join(parts.select(F.col("node").alias("id"), F.col("root").alias("comp")), "id"))
+        large = cut(_with_group(large, _blocks(large, block_rows, block_bytes)))
+        pairs, sure = _dense(large.where("g > 1"), threshold)
+        cells = cells.unionByName(single(large.where("g = 1")))
+        cells = cells.unionByName(pairs)
+    cells = cells.select("comp", "i", "j", "side", "id", "text").repartition(_parts(cells), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    found = _verify(cells, threshold, tolerance, n_bands * BAND_ROWS)
+    found = cut(found if sure is None else found.unionByName(sure))
     groups = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     count = found.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n_links"))
     full = classes.select("node", "rep", "size", "c1", "c2").join(count, "node", "left").join(groups, "node", "left")
