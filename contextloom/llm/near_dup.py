@@ -376,7 +376,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def with_key(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with the class key (c1, c2) of their text."""
+    """The rows with the class key (c1, c2) of their text, in place of columns of these names."""
+    docs = docs.drop("c1", "c2")
     schema = docs.select("*", F.lit(0).cast("long").alias("c1"), F.lit(0).cast("long").alias("c2")).schema
     place = docs.columns.index(text_col)
 

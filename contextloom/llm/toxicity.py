@@ -2,8 +2,13 @@
 
 A text's terms are its distinct words and their first four and five bytes, hashed. The model is
 w0 + sum w_i + sum_{i<j} <v_i, v_j> over the terms present: the pair part learns that two terms together, such as an
-insult and a group's name, weigh more than both alone, which additive weights miss. Over the training rows every term's
-count by label is taken, the `n_terms` terms that tell the labels apart best enter the model, the rest weigh nothing.
+insult and a group's name, weigh more than both alone, which additive weights miss.
+
+Terms enter the model in two ways. Every term's count by label is taken over the training rows, and the `n_terms` terms that
+alone tell the labels apart best enter. Then every pair is tested that has one of the `n_frequent` terms whose presence
+varies most (whatever their labels): both terms enter if rows with both have a share of toxic labels outside of what the
+two terms allow, alone or added, by more than `evidence` standard deviations. So a term that matters only together with
+another one enters too. All other terms weigh nothing.
 
 The score is calibrated on rows held back from the fit, toxic rows weighing more by the square root of the labels' ratio:
 toxic rows are few, and missing one costs more than a clean row close to the line.
@@ -13,7 +18,7 @@ on every row in one pass without a shuffle. Labels, lang, source and doc_id are
 
 Null and empty texts have no terms and get the score of the intercept. Rows that repeat get equal scores. Without rows of
 both labels every score is the share of toxic labels (0 without labels). Labels that are null are left out; of several
-labels of a document the largest counts. Other columns are left alone.
+labels of a document the largest counts. Other columns are left alone; `score` replaces one of the name it is given.
 """
 
 from __future__ import annotations
@@ -29,9 +34,11 @@ from pyspark.sql import functions as F
 from contextloom.llm import textkernel as K
 from contextloom.runtime import cut, ship
 
-DIMS = 1 << 18
+DIMS = 1 << 20
 MAX_TRAIN = 20_000
 N_TERMS = 1024
+N_FREQUENT = 2048
+EVIDENCE = 6.5
 FACTORS = 8
 
 
@@ -102,6 +109,32 @@ def fit(rows: list[np.ndarray], y: np.ndarray, dims: np.ndarray, *, factors: int
     return m
 
 
+def interacting(rows: list[np.ndarray], y: np.ndarray, known: np.ndarray, evidence: float) -> np.ndarray:
+    """Which terms are in a pair that tells more than its terms do. rows: terms of each row; known: terms that are in the
+    model anyway, whose pairs with each other needn't be tested."""
+    n, rare = len(known), y == (1 if y.mean() <= 0.5 else 0)
+    share, both, hit = rare.mean(), np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)  # rows with both terms, those of them with the rarer label
+    for start in range(0, len(rows), 1024):
+        x = np.zeros((min(1024, len(rows) - start), n), np.float32)
+        for i, r in enumerate(rows[start : start + 1024]):
+            x[i, r] = 1
+        both += x.T @ x
+        x = x[rare[start : start + 1024]]
+        hit += x.T @ x
+    alone = np.diag(hit) / np.maximum(np.diag(both), 1) - share
+    out = np.zeros(n, bool)
+    for a in np.flatnonzero(~known):
+        more, added = hit[a] - both[a] * share, alone[a] + alone
+        low, high = (f.reduce([np.zeros(n), np.full(n, alone[a]), alone, added]) for f in (np.minimum, np.maximum))
+        room = both[a] * share * (1 - share)
+        beyond = np.abs(more - np.clip(more, both[a] * low, both[a] * high)) / np.sqrt(np.maximum(room, 1e-9))
+        pair = (room >= 2) & (beyond > evidence)
+        pair[a] = False
+        out |= pair
+        out[a] |= pair.any()
+    return out
+
+
 def platt(s: np.ndarray, y: np.ndarray, balance: float = 0.0) -> tuple[float, float]:
     """Slope and shift of a logistic curve through raw sums, with smoothed targets; Newton steps. balance: the power of the
     ratio of the labels' counts by which the rarer label weighs more (0: as counted, 1: both alike)."""
@@ -124,8 +157,8 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, n_terms: int = N_TERMS) -> Machine:
-    """The machine of the labelled rows that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, n_terms: int = N_TERMS, n_frequent: int = N_FREQUENT, evidence: float = EVIDENCE) -> Machine:
+    """The machine of the labelled rows that aren't held out. n_terms + n_frequent is below 32,768."""
     ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__ctx_y"))
     picked = known.orderBy(F.xxhash64(id_col), id_col).limit(max_train)
@@ -155,9 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         share = all1 / max(1, all0 + all1)
         return Machine(np.zeros(0, np.int64), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, FACTORS)))
     share = (F.col("n0") + F.col("n1")) / F.lit(all0 + all1)
-    z = F.abs(F.col("n1") / F.lit(all1) - F.col("n0") / F.lit(all0)) / F.sqrt(share * (F.lit(1.0) - share) + F.lit(1e-9))
-    best = rows.mapInArrow(counts, "dim int, n0 long, n1 long").groupBy("dim").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= 3).orderBy(z.desc(), "dim").limit(n_terms).select("dim").collect()
-    dims = np.array(sorted(r[0] for r in best), np.int64)
+    spread = share * (F.lit(1.0) - share)
+    z = F.abs(F.col("n1") / F.lit(all1) - F.col("n0") / F.lit(all0)) / F.sqrt(spread + F.lit(1e-9))
+    seen = cut(rows.mapInArrow(counts, "dim int, n0 long, n1 long").groupBy("dim").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= 3))
+    alone, often = (np.array([r[0] for r in seen.orderBy(by.desc(), "dim").limit(n).select("dim").collect()], np.int64) for by, n in ((z, n_terms), (spread, n_frequent)))
+    dims = np.union1d(alone, often)
     table = np.full(DIMS, -1, np.int32)
     table[dims] = np.arange(len(dims))
     sent = rows.sparkSession.sparkContext.broadcast(table)
@@ -167,17 +202,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             d = batch.column(1)
             t = sent.value[d.flatten().to_numpy()]
             row = np.repeat(np.arange(len(d)), np.diff(d.offsets.to_numpy()))[t >= 0]
-            ptr = np.searchsorted(row, np.arange(len(d) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ptr), pa.array(t[t >= 0]))], names=["y", "t"])
+            ptr = 2 * np.searchsorted(row, np.arange(len(d) + 1)).astype(np.int32)
+            small = pa.py_buffer(t[t >= 0].astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(ptr.tobytes()), small])], names=["y", "t"])
 
-    got = sorted((tuple(r.t), r.y) for r in rows.mapInArrow(project, "y int, t array<int>").collect())
-    return fit([np.array(t, np.int64) for t, _ in got], np.array([y for _, y in got], np.float64), dims)
+    got = sorted((r.t, r.y) for r in rows.mapInArrow(project, "y int, t binary").collect())
+    x, y = [np.frombuffer(t, np.int16).astype(np.int64) for t, _ in got], np.array([y for _, y in got], np.float64)
+    known = np.isin(dims, alone)
+    keep = known | interacting(x, y, known, evidence)
+    place = np.where(keep, np.cumsum(keep) - 1, -1)
+    return fit([place[t][keep[t]] for t in x], y, dims[keep])
 
 
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", name: str = "score") -> DataFrame:
     """The documents with a score from 0 to 1, higher where toxic is likelier."""
     spark = ship(docs.sparkSession)
     sent = spark.sparkContext.broadcast(machine)
+    docs = docs.drop(name)
     place, schema = docs.columns.index(text_col), docs.select("*", F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
