@@ -4,7 +4,8 @@ Texts are equal when identical after each run of ASCII white space is one space.
 JVM. A cuckoo index (Fan et al. 2014) holds four slots a bucket: a slot's 16-bit fingerprint answers most look-ups, a hit
 is verified against the digest stored in the same slot, a full index is doubled and filled again from the stored digests,
 and a digest can be deleted. Each task first folds its own rows into an index, so that a group of copies leaves a task as
-one row however large it is; the folded rows are dealt by digest, and each shard's index holds its digests for good.
+one row however large it is, and puts it out whenever it is full; the folded rows are dealt by digest to shards whose number
+follows the rows, and each shard's index holds its digests for good.
 
 Rows learn their group from the index by a join on the digest. Groups of at least a thousandth of all rows, a thousand at
 most, are joined by broadcast, so no task gets a large group.
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from contextloom.runtime import cut, ship
 
 SLOTS = 4
+#: Most digests in the index of a task that folds its own rows, and the digests that a shard is laid out for.
+FOLD_DIGESTS = 200_000
+SHARD_DIGESTS = 500_000
 _KICKS = 200
 _INDEX = "digest binary, keep_id long, group_size long"
 
@@ -124,8 +128,9 @@ def _batch(entries: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["digest", "keep_id", "group_size"])
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, keep_id, group_size) to one row a digest. A size of 0 retires the digest as it was before."""
+def _fold(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (digest, keep_id, group_size) to one row a digest. A size of 0 retires the digest as it was before. An index of
+    `most` digests is put out and begun anew, so a digest may have several rows, for a later fold to join."""
     index = CuckooIndex()
     for batch in batches:
         n = batch.column(2).to_numpy()
@@ -134,6 +139,9 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index.add(d, k, size)
             else:
                 index.delete(d)
+        if most is not None and index.live >= most:
+            yield from index.batches()
+            index = CuckooIndex()
     yield from index.batches()
 
 
@@ -143,15 +151,16 @@ def digest(text: str | Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\x20\\x09-\\x0D]+", " ").cast("binary"), 256))
 
 
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _parts(rows: DataFrame) -> int:
+    """Shards of a bounded number of digests, whatever the size of the table, and no fewer than the session's partitions."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // SHARD_DIGESTS)
 
 
 def index(digests: DataFrame) -> DataFrame:
     """digests (id long, digest binary) to the live index: digest, keep_id, group_size."""
     ship(digests.sparkSession)
     rows = digests.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return rows.mapInArrow(_fold, _INDEX).repartition(_parts(rows), "digest").mapInArrow(_fold, _INDEX)
+    return rows.mapInArrow(lambda it: _fold(it, FOLD_DIGESTS), _INDEX).repartition(_parts(rows), "digest").mapInArrow(_fold, _INDEX)
 
 
 def update(live: DataFrame, added: DataFrame, retired: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ carried as null. An empty table gives an empty result. Other columns are left al
 from __future__ import annotations
 
 import base64
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -245,13 +246,15 @@ def _rows(docs: list, ids: list[np.ndarray], seq_len: int, width: type, first: i
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, seq_len: int = SEQ_LEN, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
-    """Packed rows of the documents. tokenizer_path: a vocabulary file that executors can read at that path."""
+    """Packed rows of the documents. tokenizer_path: a vocabulary file that the driver can read; executors get a copy."""
     ship(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
+    docs.sparkSession.sparkContext.addFile(path)
+    file = os.path.basename(path)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t = tokenizer(SparkFiles.get(file))
         width = np.dtype("<u2") if t.size <= 1 << 16 else np.dtype("<u4")
         # Low 40 bits count the rows of one task.
         next_id, names, held, n, of = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, [], [], 0, None

@@ -5,8 +5,8 @@ completion. A completion's mask lists the spans to learn from: what the assistan
 All of it is DataFrame operations: running lengths by a window over a conversation's turns, then array functions.
 
 Turns are ordered by turn, then role, then text. A null role is "unknown", a null text is empty. A pair with only one
-side has an empty other side. Sides that are equal have empty completions. Repeated turns are turns. Null pair ids form one
-pair. An empty table gives an empty result. Extra columns are left alone.
+side has an empty other side. Sides that are equal have empty completions. Repeated turns are turns. Turns without a pair id
+belong to no pair and are left out: `unpaired` gives them. An empty table gives an empty result. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def _mask(turns: Column, start: Column) -> Column:
 def format_pairs(turns: DataFrame) -> DataFrame:
     """turns: pair_id, side ("chosen" or "rejected"), turn, role, text. Returns pair_id, n_prefix, prompt, chosen, rejected,
     chosen_mask, rejected_mask; a mask is "start:end" code points of its completion, ends exclusive, joined by commas."""
-    t = turns.select("pair_id", "side", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = turns.where("pair_id is not null").select("pair_id", "side", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("said", render(F.col("role"), F.col("text")))
     # One shuffle by pair_id serves the window and the groups.
     order = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -52,10 +52,15 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def unpaired(turns: DataFrame, key: str = "pair_id") -> DataFrame:
+    """The turns that are left out."""
+    return turns.where(F.col(key).isNull())
+
+
 def swapped(conversations: DataFrame) -> DataFrame:
     """Pairs for a table without preferences. Chosen is each conversation as it is; rejected is the same with its last
     answer replaced by the last answer of the neighbour whose conv_id differs in the lowest bit (empty if it has none)."""
-    c = conversations.select("conv_id", "turn", "role", "text")
+    c = conversations.where("conv_id is not null").select("conv_id", "turn", "role", "text")
     last = c.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
     donor = last.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.col("last.text").alias("other"))
     marked = c.join(last.join(donor, "conv_id", "left").select("conv_id", F.col("last.turn").alias("at"), F.coalesce("other", F.lit("")).alias("other")), "conv_id", "left")
@@ -69,7 +74,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 l AS (SELECT conv_id, max(turn) AS at FROM c WHERE role = 'assistant' GROUP BY conv_id),
 lt AS (SELECT l.conv_id, l.at, max(c.text) AS text FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.at AND c.role = 'assistant' GROUP BY 1, 2),
 t AS (SELECT c.conv_id AS pair_id, side, c.turn, c.role,

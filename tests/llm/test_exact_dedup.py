@@ -75,3 +75,14 @@ def test_update_retires_and_inserts(spark):
     live = X.index(rows((1, "a"), (2, "a"), (3, "b")))
     after = X.update(live, rows((4, "b"), (5, "c"), (9, "a")), rows((0, "a")).select("digest"))
     assert {(r.keep_id, r.group_size) for r in after.collect()} == {(9, 1), (3, 2), (5, 1)}
+
+
+def test_a_full_fold_is_put_out_and_begun_anew(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id"), X.digest((F.col("id") % 700).cast("string")).alias("digest")).coalesce(2)
+    rows = df.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).toArrow().to_batches(max_chunksize=100)
+    out = [r for b in X._fold(iter(rows), 150) for r in b.to_pylist()]
+    assert len(out) > 700 and sum(r["group_size"] for r in out) == 3000
+    monkeypatch.setattr(X, "FOLD_DIGESTS", 50)
+    monkeypatch.setattr(X, "SHARD_DIGESTS", 100)
+    assert X._parts(df) == 31
+    assert sorted((r.keep_id, r.group_size) for r in X.index(df).collect()) == [(i, 5 if i < 200 else 4) for i in range(700)]

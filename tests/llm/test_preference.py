@@ -12,6 +12,8 @@ def render(t):
 def plain(rows):
     sides = defaultdict(lambda: {"chosen": [], "rejected": []})
     for pair, side, turn, role, text in rows:
+        if pair is None:  # belongs to no pair
+            continue
         sides[pair][side].append((turn, role or "unknown", text or ""))
     out = {}
     for pair, s in sides.items():
@@ -67,4 +69,13 @@ def test_swapped_on_messy_conversations(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (1, 0, "assistant", None), (2, 0, "user", "only"), (4, 0, "assistant", "x"), (4, 0, "assistant", "y"), (5, 1, "assistant", "five"), (None, 0, "user", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = found(C.format_pairs(C.swapped(df)))
-    assert got[0][3] == render(("assistant", "")) and got[1][3] == render(("assistant", "a0")) and got[2][0] == 1 and set(got) == {0, 1, 2, 4, 5, None}
+    assert got[0][3] == render(("assistant", "")) and got[1][3] == render(("assistant", "a0")) and got[2][0] == 1 and set(got) == {0, 1, 2, 4, 5}
+    assert [tuple(r) for r in C.unpaired(df, "conv_id").collect()] == [(None, 0, "user", "z")]
+
+
+def test_columns_of_clashing_names_are_no_matter(spark):
+    names = ["said", "end", "k", "a", "b", "n", "start", "prompt", "chosen", "s", "last", "at", "other"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in ROWS], "pair_id long, side string, turn long, role string, text string, " + ", ".join(f"{x} int" for x in names))
+    assert found(C.format_pairs(df)) == found(C.format_pairs(df.drop(*names)))
+    turns = df.where("side = 'chosen'").drop("side").withColumnRenamed("pair_id", "conv_id").withColumn("pair_id", df.k).withColumn("side", df.k)
+    assert found(C.format_pairs(C.swapped(turns))) == found(C.format_pairs(C.swapped(turns.select("conv_id", "turn", "role", "text"))))
