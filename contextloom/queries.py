@@ -7,15 +7,20 @@ event type in order of name, unless the query trains.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from contextloom import oracles
 from contextloom.operators import features as feat
 from contextloom.operators import frozen, metrics, models, scoring, transitions
 from contextloom.plans.kernel import Params
 from contextloom.plans.train import decompose, feature_groups, sweep, train
+from contextloom.runtime import cut, scratch
+from contextloom.sources import files
 
 COLS = ["x1", "x2"]
 THRESHOLD = 2.5
@@ -39,12 +44,12 @@ EVENTS = """e0 AS (SELECT event_id, user_id, event_type, CAST(value AS DOUBLE) A
   (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS gap, row_number() OVER w - 2 AS seq FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 e AS (SELECT * FROM e0 WHERE gap IS NOT NULL AND value IS NOT NULL)"""
 Z = EVENTS + """, m AS (SELECT avg(value) AS m1, stddev_samp(value) AS d1, avg(gap) AS m2, stddev_samp(gap) AS d2 FROM e),
-z AS (SELECT event_id, user_id, event_type, seq, (value - m1) / (d1 + 1e-14) AS x1, (gap - m2) / (d2 + 1e-14) AS x2 FROM e CROSS JOIN m)"""
+z AS MATERIALIZED (SELECT event_id, user_id, event_type, seq, (value - m1) / (d1 + 1e-14) AS x1, (gap - m2) / (d2 + 1e-14) AS x2 FROM e CROSS JOIN m)"""
 M = Z + """, g AS (SELECT event_type, count(*) AS n, avg(x1) AS mu_0, avg(x2) AS mu_1, covar_samp(x1, x1) AS s_0_0, covar_samp(x1, x2) AS s_0_1, covar_samp(x2, x2) AS s_1_1 FROM z GROUP BY event_type),
 mm AS (SELECT *, row_number() OVER (ORDER BY event_type) AS model_id FROM g)"""
 S = M + """, sc AS (SELECT event_id, user_id, z.event_type AS event_type, seq, model_id,
   sqrt(greatest(s_0_0 * (x1 - mu_0) * (x1 - mu_0) + 2 * s_0_1 * (x1 - mu_0) * (x2 - mu_1) + s_1_1 * (x2 - mu_1) * (x2 - mu_1), 0)) AS score FROM z CROSS JOIN mm)"""
-P = S + """, p AS (SELECT event_id, user_id, event_type, seq, model_id AS context_id, score FROM (
+P = S + """, p AS MATERIALIZED (SELECT event_id, user_id, event_type, seq, model_id AS context_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score, model_id) AS rk FROM sc) WHERE rk = 1)"""
 A = P + """, l AS (SELECT *, coalesce(lag(context_id) OVER (PARTITION BY user_id ORDER BY seq), context_id) AS from_id FROM p),
 a AS (SELECT from_id, context_id AS to_id, count(*) AS n FROM l GROUP BY 1, 2)"""
@@ -69,8 +74,9 @@ def type_models(z: DataFrame) -> DataFrame:
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = standard(spark, sf_dir)
-    return scoring.best_inline(z, type_models(z).collect(), COLS).select("event_id", "user_id", "event_type", "seq", "context_id", "score")
+    z = cut(standard(spark, sf_dir))  # once for the models and the rows
+    found = scoring.best_inline(z, scoring.bounded(type_models(z), 64), COLS)
+    return found.select("event_id", "user_id", "event_type", "seq", "context_id", "score")
 
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +97,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql if sql.lstrip().upper().startswith("SELECT") else "WITH " + sql
+            ORACLES[f.__name__] = sql if sql.lstrip().upper().startswith("SELECT") else "WITH RECURSIVE " + sql
         return f
 
     return add
@@ -203,7 +209,7 @@ def point_anomaly_events(spark, d):
     return longs(scoring.point_anomaly(predicted(spark, d)), "context_id").select("event_id", "user_id", "event_type", "context_id", r6("anomaly").alias("anomaly"), (F.col("score") > THRESHOLD).alias("is_outlier"))
 
 
-@query(A + ", ra AS (SELECT to_id, sum(n) / (SELECT sum(n) FROM a) AS rarity FROM a GROUP BY 1) SELECT event_id, round(CASE WHEN score < 2.5 THEN coalesce(rarity, 0) ELSE 0 END, 6) AS anomaly FROM p LEFT JOIN ra ON ra.to_id = p.context_id")
+@query(A + ", ra AS (SELECT to_id, sum(n) / sum(sum(n)) OVER () AS rarity FROM a GROUP BY 1) SELECT event_id, round(CASE WHEN score < 2.5 THEN coalesce(rarity, 0) ELSE 0 END, 6) AS anomaly FROM p LEFT JOIN ra ON ra.to_id = p.context_id")
 def context_anomaly_events(spark, d):
     p = predicted(spark, d)
     a = transitions.pooled(transitions.counts(p, ["user_id"]))
@@ -359,13 +365,15 @@ def predict_embeddings(spark, d):
 
 
 def _trained(name: str, **changes):
-    from dataclasses import replace
+    p = replace(BASE, **changes)
 
     def run(spark, d):
-        return _labels(train(_obs(spark, d), replace(BASE, **changes)))
+        return _labels(train(_obs(spark, d), p))
 
     run.__name__ = name
-    query()(run)
+    # The recursive query knows the first algorithm with models of a memory, without a limit.
+    plain = not set(changes) & {"algorithm", "model_backend", "model_limit", "end_buffer"}
+    query(oracles.trainer(Z, [p]) + oracles.LABELS if plain else None)(run)
 
 
 _trained("train_v1_events")
@@ -378,21 +386,86 @@ _trained("train_merge_events", model_limit=2)
 _trained("train_mahalanobis_events", score="mahalanobis", p_var=1.0, drift_threshold=3.0)
 
 
-@query()
+@query(oracles.trainer(Z, [BASE]) + """, tr AS (SELECT uid, coalesce(lag(context_id) OVER (PARTITION BY uid ORDER BY seq), context_id) AS from_id, context_id AS to_id FROM lab)
+SELECT uid AS stream_key, CAST(from_id AS INTEGER) AS from_id, CAST(to_id AS INTEGER) AS to_id, count(*) AS n FROM tr GROUP BY 1, 2, 3""")
 def train_transitions_events(spark, d):
     return train(_obs(spark, d), BASE).transitions
 
 
-@query()
+@query(oracles.trainer(Z, [BASE]) + " SELECT uid AS stream_key, CAST(m.id AS INTEGER) AS model_id, m.k AS n_pcs, round(m.m1, 6) AS centroid_0, round(m.m2, 6) AS centroid_1, CAST(len(m.r) AS INTEGER) AS n_memory, m.last AS last_update_seq FROM mo")
 def train_models_events(spark, d):
     m = train(_obs(spark, d), BASE).models
-    return m.select("stream_key", "model_id", "n_pcs", F.transform("centroid", lambda x: F.round(x, R)).alias("centroid"), F.size("memory").alias("n_memory"), "last_update_seq")
+    return m.select("stream_key", "model_id", "n_pcs", *(r6(F.col("centroid")[i]).alias(f"centroid_{i}") for i in (0, 1)), F.size("memory").alias("n_memory"), "last_update_seq")
 
 
-@query()
+GRID = [Params(drift_threshold=t, drift_size=s, model_mem=40) for t in (1.5, 2.0, 3.0) for s in (5, 8)]
+
+
+@query(oracles.trainer(Z, GRID) + " SELECT pid AS param_id, uid AS stream_key, count(*) AS n_contexts FROM mo GROUP BY 1, 2")
 def sweep_events(spark, d):
-    grid = [Params(drift_threshold=t, drift_size=s, model_mem=40) for t in (1.5, 2.0, 3.0) for s in (5, 8)]
-    return sweep(_obs(spark, d), grid).models.groupBy("param_id", "stream_key").agg(F.count("*").alias("n_contexts"))
+    return sweep(_obs(spark, d), GRID).models.groupBy("param_id", "stream_key").agg(F.count("*").alias("n_contexts"))
+
+
+#: Models of the latest 500 rows of each event type, and every row's best one.
+F500 = Z + """, f AS (SELECT event_type, avg(x1) AS mu_0, avg(x2) AS mu_1, covar_samp(x1, x1) AS s_0_0, covar_samp(x1, x2) AS s_0_1, covar_samp(x2, x2) AS s_1_1
+  FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS age FROM z) WHERE age <= 500 GROUP BY event_type),
+fm AS (SELECT *, row_number() OVER (ORDER BY event_type) AS model_id FROM f),
+fs AS (SELECT event_id, model_id, sqrt(greatest(s_0_0 * (x1 - mu_0) * (x1 - mu_0) + 2 * s_0_1 * (x1 - mu_0) * (x2 - mu_1) + s_1_1 * (x2 - mu_1) * (x2 - mu_1), 0)) AS score FROM z CROSS JOIN fm)
+SELECT event_id, CAST(model_id AS INTEGER) AS context_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score, model_id) AS k FROM fs) WHERE k = 1"""
+
+
+def _fitted(spark, d):
+    rows = cut(standard(spark, d).select("event_type", F.col("event_id").alias("seq"), F.array(*COLS).alias("features")))
+    return rows, models.fit(rows, "event_type", p_var=1.0, mem=500)
+
+
+@query(F500)
+def predict_fitted_events(spark, d):
+    """Fitted models, and their scores by Arrow batches."""
+    rows, m = _fitted(spark, d)
+    return scoring.predict(rows.select("seq", "features"), m).select(F.col("seq").alias("event_id"), "context_id", r6("score").alias("score"))
+
+
+@query(F500)
+def sql_function_events(spark, d):
+    """The same by the registered SQL function."""
+    rows, m = _fitted(spark, d)
+    scoring.register_udf(spark, m, "score_context")
+    found = rows.select("seq", F.expr("score_context(features)").alias("b"))
+    return found.select(F.col("seq").alias("event_id"), "b.context_id", r6("b.score").alias("score"))
+
+
+@query(EIG + " SELECT event_type, CAST(CASE WHEN l1 / (l1 + greatest(l2, 0)) > 0.52 THEN 1 ELSE 2 END AS BIGINT) AS rank FROM ei")
+def find_rank_events(spark, d):
+    return models.find_rank(_eigen(spark, d).select("event_type", F.explode(F.array("l1", "l2")).alias("v")), "event_type", "v", 0.52)
+
+
+@query(Z + " SELECT event_id AS seq, round(x1, 6) AS f0, round(x2, 6) AS f1 FROM z")
+def csv_scan_events(spark, d):
+    """Standardised events, written as CSV and read by the CSV source."""
+    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
+    standard(spark, d).select("event_id", *COLS).write.option("header", True).csv(path)
+    rows = files.csv_observations(spark, path, ["event_id", *COLS], order="event_id")
+    return rows.select("seq", *(r6(F.col("features")[i]).alias(f"f{i}") for i in (0, 1)))
+
+
+@query(oracles.trainer(Z, [BASE]) + """, tt AS (SELECT lab.uid, context_id AS u, event_type AS v, CAST(count(*) AS DOUBLE) AS n FROM lab JOIN z ON z.user_id = lab.uid AND z.seq = lab.seq GROUP BY 1, 2, 3),
+pu AS (SELECT uid, sum(m * (m - 1) / 2) AS pu FROM (SELECT uid, u, sum(n) AS m FROM tt GROUP BY 1, 2) GROUP BY 1), pv AS (SELECT uid, sum(m * (m - 1) / 2) AS pv FROM (SELECT uid, v, sum(n) AS m FROM tt GROUP BY 1, 2) GROUP BY 1),
+tp AS (SELECT uid, sum(n) AS n, sum(n * (n - 1) / 2) AS p FROM tt GROUP BY 1),
+ari AS (SELECT uid, (p - pu * pv / nullif(n * (n - 1) / 2, 0)) / nullif((pu + pv) / 2 - pu * pv / nullif(n * (n - 1) / 2, 0), 0) AS ari FROM tp JOIN pu USING (uid) JOIN pv USING (uid)),
+la1 AS (SELECT uid, arg_max({'x1': x1, 'x2': x2}, seq) AS x FROM zz GROUP BY uid),
+ls AS (SELECT mo.uid, min({'s': """ + oracles.score("m", "variance_weighted").replace("x1", "la1.x.x1").replace("x2", "la1.x.x2") + """, 'id': m.id}) AS b FROM mo JOIN la1 ON la1.uid = mo.uid GROUP BY 1)
+SELECT ls.uid AS stream_key, round(ari, 6) AS ari, CAST(b.id AS INTEGER) AS last_context, round(b.s, 6) AS last_score FROM ls JOIN ari ON ari.uid = ls.uid""")
+def train_ari_last_events(spark, d):
+    """Train, agree with the truth, predict the last row again: one row per stream."""
+    z = cut(standard(spark, d))
+    obs = z.select(F.col("user_id").alias("stream_key"), "seq", F.array(*COLS).alias("features"))
+    t = train(obs, BASE)
+    truth = t.labels.join(z.select(F.col("user_id").alias("stream_key"), "seq", "event_type"), ["stream_key", "seq"])
+    ari = metrics.adjusted_rand(metrics.contingency(truth, "context_id", "event_type", ["stream_key"]), ["stream_key"])
+    last = obs.groupBy("stream_key").agg(F.max_by(F.struct("seq", "features"), "seq").alias("b")).select("stream_key", "b.*")
+    got = scoring.score_keyed(last, t.models).join(ari, "stream_key")
+    return got.select("stream_key", r6(F.when(~F.isnan("ari"), F.col("ari"))).alias("ari"), F.col("context_id").alias("last_context"), r6("score").alias("last_score"))
 
 
 @query()
@@ -407,9 +480,6 @@ def decompose_lineitem(spark, d):
 
 @query()
 def online_offline_events(spark, d):
-    import uuid
-
-    from contextloom.runtime import scratch
     from contextloom.streaming.online import OnlineTrainer, replay
 
     obs = _obs(spark, d)
@@ -421,15 +491,16 @@ def online_offline_events(spark, d):
 
 @query()
 def clustering_pipeline_events(spark, d):
-    """Split, standardise on the first part, train on it, predict the rest, agree with the truth: one row per stream."""
+    """Split, standardise on the first part, train on it, predict the rest, agree with the truth, and the transitions that leave
+    the contexts: one row per stream."""
     first, rest = feat.split(events(spark, d), 0.8, ["user_id"])
     z = lambda x: feat.zscore(x, ["value", "gap"], fit_on=first, names=COLS).select(F.col("user_id").alias("stream_key"), "seq", "event_type", F.array(*COLS).alias("features"))
     t = train(z(first).drop("event_type"), BASE)
-    one = t.models.select("stream_key", F.struct("model_id", "centroid", "coeff").alias("m"))
-    tried = z(rest).join(one, "stream_key")
-    dist = F.sqrt(F.aggregate(F.transform(F.sequence(F.lit(0), F.size(F.col("m.coeff")[0]) - 1), lambda k: F.pow(F.aggregate(F.zip_with(F.zip_with("features", "m.centroid", lambda a, b: a - b), "m.coeff", lambda a, r: a * r[k]), F.lit(0.0), lambda s, v: s + v), 2)), F.lit(0.0), lambda s, v: s + v))
-    best = tried.groupBy("stream_key", "seq", "event_type").agg(F.min(F.struct(dist.alias("score"), F.col("m.model_id").alias("context_id"))).alias("b"))
-    return best.groupBy("stream_key").agg(F.count("*").alias("n"), F.countDistinct("b.context_id").alias("n_contexts"), F.round(F.avg("b.score"), R).alias("mean_score"))
+    found = cut(scoring.score_keyed(z(rest), t.models))
+    ari = metrics.adjusted_rand(metrics.contingency(found, "context_id", "event_type", ["stream_key"]), ["stream_key"])
+    left = t.transitions.groupBy("stream_key", "from_id").agg(F.sum("n").alias("degree")).groupBy("stream_key").agg(F.max("degree").alias("max_degree"), F.sort_array(F.collect_list("degree"), asc=False).alias("degrees"))
+    one = found.groupBy("stream_key").agg(F.count("*").alias("n"), F.countDistinct("context_id").alias("n_contexts"), F.round(F.avg("score"), R).alias("mean_score"))
+    return one.join(ari, "stream_key").join(left, "stream_key").withColumn("ari", r6(F.when(~F.isnan("ari"), F.col("ari"))))
 
 
 @query(EVENTS + " SELECT count(*) AS n, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS sd_value, round(avg(gap), 3) AS mean_gap, round(stddev_samp(gap), 3) AS sd_gap FROM e")
@@ -467,18 +538,17 @@ def bag_union_lineitem(spark, d):
 
 @query()
 def anomaly_pipeline_events(spark, d):
-    """Train on the normal rows of the first part, score the rest with the three detectors, measure each: one row.
-
-    Users are one stream here, by event id, as the detectors' models are shared."""
+    """Train on the normal rows of each user's first part, score the rest by the user's own models with the three detectors,
+    measure each over all users: one row."""
     first, rest = feat.split(events(spark, d), 0.8, ["user_id"])
-    z = lambda x: feat.zscore(x, ["value", "gap"], fit_on=first, names=COLS).select(F.lit(0).cast("long").alias("stream_key"), "user_id", F.col("event_id").alias("seq"), "event_type", F.array(*COLS).alias("features"))
-    t = train(z(feat.sanitise(first, "event_type", "view")).select("stream_key", "seq", "features"), BASE)
-    scored = scoring.predict(z(rest), t.models).withColumn("truth", feat.recode("event_type", "view")).drop("features")
-    a = t.transitions.drop("stream_key")
+    z = lambda x: feat.zscore(x, ["value", "gap"], fit_on=first, names=COLS).select(F.col("user_id").alias("stream_key"), "seq", "event_type", F.array(*COLS).alias("features"))
+    t = train(z(feat.sanitise(first, "event_type", "view")).drop("event_type"), BASE)
+    scored = cut(scoring.score_keyed(z(rest), t.models).where("score is not null").withColumn("truth", feat.recode("event_type", "view")).drop("features"))
+    key = ["stream_key"]
     point = metrics.auc(scoring.point_anomaly(scored), "anomaly", "truth").withColumnRenamed("auc", "auc_point")
-    context = metrics.auc(scoring.context_anomaly(scored, transitions.rarity(a), BASE.drift_threshold), "anomaly", "truth").withColumnRenamed("auc", "auc_context")
-    together = metrics.auc(scoring.collective_anomaly(scored, transitions.markov(a), 5, ["user_id"]), "anomaly", "truth").withColumnRenamed("auc", "auc_collective")
-    return point.crossJoin(F.broadcast(context)).crossJoin(F.broadcast(together)).select(*(r6(c).alias(c) for c in ("auc_point", "auc_context", "auc_collective")))
+    context = metrics.auc(scoring.context_anomaly(scored, transitions.rarity(t.transitions, key), BASE.drift_threshold, key), "anomaly", "truth").withColumnRenamed("auc", "auc_context")
+    together = metrics.auc(scoring.collective_anomaly(scored, transitions.markov(t.transitions, key), 5, key), "anomaly", "truth").withColumnRenamed("auc", "auc_collective")
+    return point.crossJoin(F.broadcast(context)).crossJoin(F.broadcast(together)).select(*(r6(c).alias(c) for c in ("auc_point", "auc_context", "auc_collective")))  # a row each
 
 
 @query()
