@@ -207,10 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(ptr.tobytes()), small])], names=["y", "t"])
 
     got = sorted((r.t, r.y) for r in rows.mapInArrow(project, "y int, t binary").collect())
-    x, y = [np.frombuffer(t, np.int16).astype(np.int64) for t, _ in got], np.array([y for _, y in got], np.float64)
+    x, y = [np.frombuffer(t, np.int16) for t, _ in got], np.array([y for _, y in got], np.float64)
     known = np.isin(dims, alone)
     keep = known | interacting(x, y, known, evidence)
-    place = np.where(keep, np.cumsum(keep) - 1, -1)
+    place = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
     return fit([place[t][keep[t]] for t in x], y, dims[keep])
 
 
