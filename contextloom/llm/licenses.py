@@ -48,6 +48,20 @@ SENTENCES = {
     "ccbync4-notice": "Licensed under CC BY-NC 4.0.",
     "ccby4-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc0-notice": "Licensed under CC0 1.0.",
+    "gpl2-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl2-terms": "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl3-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl3-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "bsl1-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "bsl1-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "psf-notice": "Licensed to PSF under a Contributor Agreement.",
+    "ccbynd4-notice": "Licensed under CC BY-ND 4.0.",
+    "ccbyncsa4-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "ccbysa4-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain; no license applies.",
 }
 
@@ -56,6 +70,10 @@ RULES = [
     ("Apache-2.0", ["apache2-notice"]),
     ("Apache-2.0", ["apache2-grant", "apache2-comply", "apache2-copy", "apache2-asis", "apache2-see"]),
     ("Apache-2.0", ["apache2-grant", "apache2-comply"]),
+    ("AGPL-3.0", ["agpl3-notice"]),
+    ("AGPL-3.0", ["agpl-see"]),
+    ("BSL-1.0", ["bsl1-grant"]),
+    ("BSL-1.0", ["bsl1-notice"]),
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD", ["bsd-notice"]),
@@ -63,17 +81,27 @@ RULES = [
     ("CC-BY-4.0", ["ccby4-long"]),
     ("CC-BY-NC-4.0", ["ccbync4-notice"]),
     ("CC-BY-SA-4.0", ["ccbysa4-notice"]),
+    ("CC-BY-NC-SA-4.0", ["ccbyncsa4-notice"]),
+    ("CC-BY-ND-4.0", ["ccbynd4-notice"]),
+    ("CC-BY-SA-4.0", ["ccbysa4-long"]),
     ("CC0-1.0", ["cc0-notice"]),
+    ("EPL-2.0", ["epl2-notice"]),
+    ("GPL-2.0", ["gpl2-notice"]),
+    ("GPL-2.0", ["gpl2-terms"]),
     ("GPL-3.0", ["gpl3-notice"]),
     ("GPL-3.0", ["gpl-redistribute", "gpl-hope", "gpl-implied", "gpl-see"]),
     ("GPL-3.0", ["gpl-redistribute"]),
     ("ISC", ["isc-grant"]),
+    ("LGPL-3.0", ["lgpl3-notice"]),
+    ("LGPL-3.0", ["lgpl-see"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-licensed"]),
     ("MIT", ["mit-grant", "mit-notice-kept", "mit-asis", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-notice-kept"]),
     ("MPL-2.0", ["mpl2-notice"]),
+    ("PSF-2.0", ["psf-notice"]),
     ("Unlicense", ["unlicense"]),
+    ("Zlib", ["zlib-grant"]),
 ]
 
 #: Every known sentence has one of these.
