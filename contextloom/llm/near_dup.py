@@ -407,3 +407,20 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("c1", "c2")
+
+
+#: The same rows by comparing all representatives that share a shingle. Ids must differ, as those of the table do.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+k AS (SELECT doc_id, 'shingles ' || sha256(string_agg(g, chr(10) ORDER BY g)) AS key FROM sh GROUP BY doc_id),
+c AS (SELECT doc_id, min(doc_id) OVER same AS class_id, count(*) OVER same AS class_size FROM w LEFT JOIN k USING (doc_id) WINDOW same AS (PARTITION BY coalesce(key, 'bytes ' || t))),
+rep AS (SELECT doc_id AS id, g, count(*) OVER (PARTITION BY doc_id) AS n FROM sh JOIN c USING (doc_id) WHERE doc_id = class_id),
+link AS (SELECT x.id AS a, y.id AS b FROM rep x JOIN rep y ON x.g = y.g AND x.id <> y.id GROUP BY x.id, y.id, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*)) - 1e-9),
+reach(id, least) AS (SELECT DISTINCT a, a FROM link UNION SELECT link.b, reach.least FROM reach JOIN link ON link.a = reach.id WHERE reach.least < link.b),
+grp AS (SELECT id, min(least) AS least FROM reach GROUP BY id),
+cnt AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
+SELECT doc_id, class_id, CAST(class_size AS BIGINT) AS class_size, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n_links, coalesce(grp.least, class_id) AS group_id,
+       doc_id = coalesce(grp.least, class_id) AS stays
+FROM c LEFT JOIN cnt ON cnt.id = class_id LEFT JOIN grp ON grp.id = class_id
+"""

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from brute import near_groups
 from fixtures import words
+from util import same
 
 from contextloom.llm import near_dup as N
 from contextloom.llm.graph import components
@@ -18,6 +19,10 @@ def test_equals_brute_force_on_documents(documents):
     assert found(N.join(documents)) == near_groups(rows)
 
 
+def test_equals_its_sql(spark, duck):
+    same(N.op2(spark, "/root/testdata/sf0.001").toPandas(), duck.execute(N.OP2_SQL).df())
+
+
 def test_a_large_group_over_several_blocks(spark):
     r = random.Random(1)
     base = words(r, 120).split()
