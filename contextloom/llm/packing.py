@@ -35,7 +35,8 @@ from contextloom.runtime import ship
 
 SEQ_LEN = 2048
 WINDOW_TOKENS = 2_000_000
-CACHE = 600_000
+#: Encoded pieces that a worker remembers, also between tasks.
+CACHE = 100_000
 _U = np.uint64
 
 
@@ -260,7 +261,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         next_id, names, held, n, of = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, [], [], 0, None
         for batch in batches:
             of = batch.column(0).type
-            for start, stop, data, off in K.blocks(batch.column(1), 4 << 20):
+            for start, stop, data, off in K.blocks(batch.column(1)):
                 ids, ptr = t.encode(data, off)
                 for i, name in enumerate(batch.column(0).slice(start, stop - start).to_pylist()):
                     if ptr[i] == ptr[i + 1]:
